@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules, simhash, tokenstore
+from . import decontam, linededup, mixing, rules, secrets, simhash, tokenstore
 
 #: Where the vocabulary files are; None asks the installed package.
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS")
@@ -24,6 +24,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(table(spark, sf_dir, "documents"))
 
@@ -32,14 +44,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_secret_scan": op8_secret_scan,
     "op10_token_store": op10_token_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontam.ORACLE,
+    "op3_line_dedup": linededup.ORACLE,
+}
