@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, rules, secrets, simhash, tokenstore
+from . import decontam, linededup, mixing, rules, secrets, simhash, suffix, tokenstore
 
 #: Where the vocabulary files are; None asks the installed package.
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS")
@@ -48,6 +48,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_store": op10_token_store,
 }
 
