@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, rules, secrets, simhash, suffix, tokenstore
+from . import chaining, decontam, linededup, mixing, rules, secrets, simhash, suffix, tokenstore
 
 #: Where the vocabulary files are; None asks the installed package.
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS")
@@ -36,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.find(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_passages": op5_passages,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
