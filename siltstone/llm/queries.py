@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chaining, decontam, linededup, mixing, rules, secrets, simhash, suffix, tokenstore
+from . import chaining, decontam, linededup, mixing, ngram_lm, rules, secrets, simhash, suffix, tokenstore
 
 #: Where the vocabulary files are; None asks the installed package.
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS")
@@ -24,6 +24,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +65,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_score": op1_ngram_score,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
