@@ -53,6 +53,11 @@ def match_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.MATCHES).json(path)
 
 
+def joined_properties(spark: SparkSession, path: str) -> DataFrame:
+    """Listings with their matches, as the join writes them; absent keys are null."""
+    return spark.read.schema(schema.JOINED).json(path)
+
+
 def parse_title_lines(lines: DataFrame) -> DataFrame:
     """(offset, page_id, wiki_title) from "offset:page_id:title" lines; bad lines are dropped."""
     parts = F.split(F.trim("value"), ":", 3)
