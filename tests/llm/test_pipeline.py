@@ -43,6 +43,25 @@ def test_clean_documents_stay(spark, sf, stages):
     assert sum(i in after for i in toxic) <= 0.5 * len(toxic)
 
 
+def test_stages_equal_brute_force(spark, sf, stages):
+    from tokenizers import Tokenizer
+
+    from . import brute
+
+    tk = Tokenizer.from_file(queries.tokenizer_path())
+    docs = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    items = [r.text for r in queries.table(spark, sf, "benchmark").collect()]
+    labels = {r.doc_id: (r.quality, r.toxic) for r in queries.table(spark, sf, "labels").collect()}
+    steps = [
+        lambda d: {i: t for i, t in d.items() if brute.quality(t)}, brute.near_duplicates, lambda d: brute.decontaminate(d, items), lambda d: brute.mixture(d, labels),
+    ]
+    for (name, kept), step in zip(stages[:-1], steps):
+        docs = step(docs)
+        assert {r.doc_id: r.text for r in kept.collect()} == docs, name
+    want = brute.tokens(docs, lambda t: tk.encode(t, add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in stages[-1][1].collect()) == want
+
+
 def test_run_equals_the_stages(spark, sf, stages):
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
     assert got == sorted(map(tuple, stages[-1][1].collect()))
