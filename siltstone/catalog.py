@@ -134,11 +134,11 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM pos GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 dl AS (SELECT doc_id, len(ws) AS dl FROM ws WHERE len(ws) > 0),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
-_LUCENE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+_FIELD_BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 
 
 def _leaf(name: str, term: str) -> str:
-    return f"{name} AS (SELECT doc_id, {_LUCENE} AS s FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st WHERE term = '{term}')"
+    return f"{name} AS (SELECT doc_id, {_FIELD_BM25} AS s FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st WHERE term = '{term}')"
 
 
 def _fielded(spark, sf, text):
