@@ -3,7 +3,7 @@
 From each rule's regular expression a Boolean query over trigrams is derived that every match satisfies
 (``trigram_query``). The index holds a posting (trigram, row) for each trigram that some rule asks for.
 A rule's query is evaluated by merging the posting lists row by row (one bitwise OR for each row, then
-Boolean tests on the bits), and only candidate texts are scanned with the expression itself. A rule whose
+Boolean tests on the bits), and only candidate texts are scanned with the expression itself. Of each conjunction the two rarest trigrams are asked for. A rule whose
 expression has no mandatory trigram scans every text. Trigrams are taken from lower-cased ASCII letters,
 so that rules in either case share them.
 
@@ -16,6 +16,7 @@ with its own matches only; an empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from re import _parser as sre
@@ -143,14 +144,39 @@ def trigrams(query) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1:]))
 
 
+#: Letters from frequent to rare in running text; other characters count as rarer than all.
+FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz"
+#: Trigrams that stand for one conjunction: the rarest of them.
+SELECT = 2
+
+
+def selective(query):
+    """A weaker query over fewer trigrams: each conjunction keeps its rarest ones."""
+    if query is True or query[0] == "tri":
+        return query
+    if query[0] == "or":
+        return any_of(*map(selective, query[1:]))
+    rare = lambda t: sum(FREQUENCY.index(c) if c in FREQUENCY else 30 for c in t)
+    own = sorted((q for q in query[1:] if q[0] == "tri"), key=lambda q: (-rare(q[1]), q[1]))[:SELECT]
+    return all_of(*own, *[selective(q) for q in query[1:] if q[0] != "tri"])
+
+
+def trie_regex(terms: list[str]) -> str:
+    """An expression that captures, without consuming it, any of the trigrams at a position."""
+    first: dict[str, list[str]] = {}
+    for t in terms:
+        first.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + "))"
+
+
 # --- the index ---------------------------------------------------------------------------------
 
 
 def build_index(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Postings (tri, doc_id, th) of the given trigrams, written to the shared folder in trigram order."""
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.where("text is not null").select(*N.row_key(), low.alias("low"))
-    hits = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in terms]))
+    rows = docs.where("text is not null").select(*N.row_key(), F.lower("text").alias("low"))
+    # One pass over each text finds all trigrams that any rule asks for.
+    hits = F.array_distinct(F.regexp_extract_all("low", F.lit(trie_regex(terms)), F.lit(1)))
     posts = rows.select("doc_id", "th", hits.alias("tris")).select(F.explode("tris").alias("tri"), "doc_id", "th")
     return C.materialise(posts.sortWithinPartitions("tri"), "postings")
 
@@ -197,7 +223,7 @@ def spans(rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, th, spans) of the rows of docs that have any span; spans are sorted by start and kind."""
-    asked = {r.kind: trigram_query(r.pattern) for r in rules}
+    asked = {r.kind: selective(trigram_query(r.pattern)) for r in rules}
     narrow = [(i, r) for i, r in enumerate(rules) if asked[r.kind] is not True]
     wide = [(i, r) for i, r in enumerate(rules) if asked[r.kind] is True]
     keyed = docs.where("text is not null").select(*N.row_key(), "text")
