@@ -35,15 +35,15 @@ def main() -> None:
 
     queries = {}
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    idx = index.build(docs).cache()
-    queries["index_build"] = timed(lambda: [d.count() for d in (idx.postings, idx.terms, idx.docs, idx.stats)])
-    run = lambda text: rank.top_k(idx, text, "bm25", 10).collect()
-    run(SEARCHES[0])
+    made = []
+    queries["index_build"] = timed(lambda: made.append(rank.Searcher(index.build(docs))))
+    run = lambda text: made[0].top_k(text, "bm25", 10).collect()
+    for text in SEARCHES[:3]:
+        run(text)
     for text in SEARCHES:
         queries[f"search: {text}"] = timed(lambda: run(text))
     latency = mean(queries[f"search: {x}"] for x in SEARCHES)
-    for d in (idx.postings, idx.terms, idx.docs, idx.stats):
-        d.unpersist()
+    made[0].close()
     for name in BATCH:
         queries[name] = timed(lambda: catalog.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
     total = round(sum(queries.values()), 3)

@@ -63,7 +63,7 @@ def token_counts(spark, sf):
 
 @register(f"WITH {_TOK} SELECT doc_id, term, tf FROM tf")
 def term_frequencies(spark, sf):
-    return _index(spark, sf).postings
+    return _index(spark, sf).postings.select("doc_id", "term", "tf")
 
 
 @register(f"WITH {_TOK} SELECT term, df FROM df")

@@ -12,7 +12,7 @@ from siltstone.functions import text as X
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc_id, tf
+    postings: DataFrame  # term, doc_id, tf, dl
     terms: DataFrame  # term, df
     docs: DataFrame  # doc_id, dl, and what else is stored
     stats: DataFrame  # n, avgdl; one row
@@ -33,9 +33,10 @@ def load(spark: SparkSession, path: str) -> Index:
 
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> Index:
     """Index the column ``text``. The mean length counts documents without tokens."""
-    words = docs.select(F.col(key).alias("doc_id"), X.all_words(F.col(text)).alias("ws"))
-    each = words.select("doc_id", F.explode("ws").alias("term")).where(~F.col("term").isin(*X.STOP_WORDS))
-    postings = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = docs.select(F.col(key).alias("doc_id"), X.tokenize(F.col(text)).alias("ws"))
+    # The length rides along, so that scoring needs no join with the documents.
+    each = words.select("doc_id", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term"))
+    postings = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     sized = docs.select(F.col(key).alias("doc_id"), F.size(X.tokenize(F.col(text))).cast("long").alias("dl"), *keep)
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -77,4 +78,5 @@ def load_tagged(spark: SparkSession, path: str) -> Index:
 
     meta, terms, docs = readers.tagged_index(spark, path)
     postings = terms.select("term", F.explode("postings").alias("p")).select("p.doc_id", "term", "p.tf")
+    postings = postings.join(docs.select("doc_id", F.col("doc_length").alias("dl")), "doc_id")
     return Index(postings, terms.select("term", F.col("doc_freq").alias("df")), docs.select("doc_id", F.col("doc_length").alias("dl"), "data"), meta.select(F.col("total_docs").alias("n"), F.col("avg_doc_length").alias("avgdl")))

@@ -38,7 +38,6 @@ def scores(index: Index, query: str, method: str = "bm25") -> DataFrame:
     terms = spark.createDataFrame([*wanted.items()], "term string, qtf long")
     some = index.terms.where(F.col("term").isin(list(wanted))).join(F.broadcast(terms), "term").crossJoin(F.broadcast(index.stats))
     hits = index.postings.where(F.col("term").isin(list(wanted))).join(F.broadcast(some), "term")
-    hits = hits.join(index.docs.select("doc_id", "dl"), "doc_id")
     tf, df, dl, n, avgdl = (F.col(c) for c in ("tf", "df", "dl", "n", "avgdl"))
     one = tfidf_score(tf, df, dl, n) if method == "tfidf" else bm25_score(tf, df, dl, n, avgdl)
     return hits.groupBy("doc_id").agg(F.sum(one * F.col("qtf")).alias("score"))
@@ -57,7 +56,7 @@ def term_metrics(index: Index, hits: DataFrame, query: str) -> DataFrame:
     spark = index.postings.sparkSession
     terms = spark.createDataFrame([(t,) for t in wanted], "term string").join(index.terms.where(F.col("term").isin(wanted)), "term", "left").crossJoin(F.broadcast(index.stats))
     grid = hits.select("doc_id").crossJoin(F.broadcast(terms)).join(index.docs.select("doc_id", "dl"), "doc_id")
-    posts = index.postings.where(F.col("term").isin(wanted))
+    posts = index.postings.where(F.col("term").isin(wanted)).select("doc_id", "term", "tf")
     both = grid.join(posts, ["doc_id", "term"], "left")
     present = F.col("tf").isNotNull()
     return both.select(
@@ -67,6 +66,36 @@ def term_metrics(index: Index, hits: DataFrame, query: str) -> DataFrame:
     )
 
 
+class Searcher:
+    """Interactive search: the postings in memory, ranged and sorted by term so that a query reads the
+    batches of its own terms; the statistics, and the document frequencies of a query's few terms, on the
+    driver. A search is then one scan, one aggregation and a top-k."""
+
+    def __init__(self, index: Index):
+        self.index = index
+        self.postings = index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").cache()
+        self.terms = index.terms.repartitionByRange("term").sortWithinPartitions("term").cache()
+        self.n, self.avgdl = index.stats.select("n", "avgdl").first()
+        self.postings.count(), self.terms.count()
+
+    def top_k(self, query: str, method: str = "bm25", k: int = 10) -> DataFrame:
+        """As ``top_k``."""
+        wanted = Counter(X.query_terms(query))
+        df = {r.term: r.df for r in self.terms.where(F.col("term").isin(list(wanted))).collect()}
+        tf, dl, n = F.col("tf"), F.col("dl"), F.lit(self.n)
+        one = F.lit(0.0)
+        for term, count in df.items():
+            part = tfidf_score(tf, F.lit(count), dl, n) if method == "tfidf" else bm25_score(tf, F.lit(count), dl, n, F.lit(self.avgdl))
+            one = F.when(F.col("term") == term, part * wanted[term]).otherwise(one)
+        hits = self.postings.where(F.col("term").isin(list(wanted)))
+        ranked = hits.groupBy("doc_id").agg(F.round(F.sum(one), 6).alias("score"))
+        return ranked.orderBy(F.desc("score"), "doc_id").limit(k)
+
+    def close(self) -> None:
+        self.postings.unpersist()
+        self.terms.unpersist()
+
+
 def search(index: Index, query: str, method: str = "bm25", k: int = 10) -> DataFrame:
     """Result rows: doc_id, score, the stored fields, shortened description, term_metrics, method."""
     best = top_k(index, query, method, k)
