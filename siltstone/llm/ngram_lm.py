@@ -25,6 +25,7 @@ row by row; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -44,11 +45,11 @@ DISCOUNT = 0.75
 ALPHA = 0.1
 FOLDS = 10
 SHARD = 1 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Steps of a quantised log10: 255 stands for -12.75 and below.
 STEP = 0.05
 #: Bytes of unpacked sequences that a worker keeps.
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 160 << 20
 NONE = np.uint32(0xFFFFFFFF)
 END_CODE = np.uint64(0x51E57011E0000001)
 _KEPT: OrderedDict[tuple, np.ndarray] = OrderedDict()
@@ -69,6 +70,19 @@ def unpacked(uri: str, part: int, make) -> np.ndarray:
     return out
 
 
+def settle() -> None:
+    """Give back what earlier steps have left in this worker process, and return large arrays at once from
+    now on: workers outlive their tasks, and free lists would hold the largest needs of all steps."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 # --- files -------------------------------------------------------------------------------------
 
 
@@ -138,8 +152,7 @@ class Level:
     def _part(self, uri: str, part: int) -> np.ndarray:
         if part >= 3:
             return parts_of(uri)[part]
-        kind = np.uint32 if part == 0 else np.uint64
-        return unpacked(uri, part, lambda: elias.EliasFano(parts_of(uri)[part]).decode().astype(kind))
+        return unpacked(uri, part, lambda: elias.EliasFano(parts_of(uri)[part]).decode())
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each (parent, relative word), parents ascending: the node (-1: not stored), its rank below
@@ -151,9 +164,10 @@ class Level:
         for (first, uri, base, size), a, b in zip(self.shards, cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b or not size:
                 continue
-            pointer, words = self._part(uri, 0), self._part(uri, 1)
+            pointer, words = elias.EliasFano(parts_of(uri)[0]), self._part(uri, 1)
             here = parent[a:b] - first
-            x, y = pointer[here].astype(np.int64), pointer[here + 1].astype(np.int64)
+            lead, back = np.unique(here, return_inverse=True)
+            x, y = pointer.select(lead).astype(np.int64)[back], pointer.select(lead + 1).astype(np.int64)[back]
             before = np.where(x > 0, words[np.maximum(x, 1) - 1], np.uint64(0))
             want = word[a:b].astype(np.uint64) + before + np.uint64(1)
             at = np.searchsorted(words, want)
@@ -237,6 +251,7 @@ def _sharded(rows: DataFrame, shard, order: list[str], build, folder: str, kind:
 
 def learn_words(docs: DataFrame, folder: str) -> Words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in C.pieces(batch, limit=PIECE_BYTES):
                 codes, _ = coded(part, part.schema.get_field_index("text"))
@@ -268,6 +283,7 @@ def number(docs: DataFrame, words: Words) -> DataFrame:
     """(doc_id, held, ids, n_tokens, n_known, base_score) of every row; ids are packed 4-byte ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in C.pieces(batch, limit=PIECE_BYTES):
                 codes, at = coded(part, 2)
@@ -283,7 +299,7 @@ def number(docs: DataFrame, words: Words) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, kind)
 
 
-def id_pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def id_pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES // 2) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, ids, first id of each row, whether id i and i + 1 are of one row)."""
     for part in C.pieces(batch, batch.schema.names[column], limit):
         _, offsets, data = part.column(column).buffers()
@@ -312,6 +328,7 @@ def learn_pairs(ids: DataFrame, words: Words, folder: str) -> Level:
     frequent = words.frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for _, x, _, joined in id_pieces(batch, 0):
                 i = np.flatnonzero(joined & (x < frequent))
@@ -350,6 +367,7 @@ def learn_triples(ids: DataFrame, words: Words, pairs: Level, folder: str) -> Le
     nodes = edges[-1][0] + edges[-1][1] if edges else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for _, x, _, joined in id_pieces(batch, 0):
                 node, rank, prob, _ = pair_nodes(pairs, words.frequent, x, joined)
@@ -420,6 +438,7 @@ def score(model: Model, ids: DataFrame) -> DataFrame:
     total = model.words.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part, x, first, joined in id_pieces(batch, 2):
                 sums = np.add.reduceat(model.log_probs(x, first, joined), first[:-1])
