@@ -339,10 +339,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYT
     distinct = places.groupBy("a", "c1", "c2").agg(F.count("*").alias("weight"), rep)
     distinct = C.materialise(distinct, "distinct")
     sums = distinct.groupBy("a").agg(F.sum("weight").alias("total"), F.sum(F.col("rep.e") - F.col("rep.s") + length).alias("bytes")).where("total > 1")
-    sums = sums.select(F.col("a").alias("a2"), (F.col("bytes") > group_bytes).alias("hot"))
+    sums = C.materialise(sums.select(F.col("a").alias("a2"), (F.col("bytes") > group_bytes).alias("hot")), "anchors")
     wanted = distinct.join(sums, distinct.a == sums.a2).select("a", "c1", "c2", "weight", "hot", "rep.doc_id", "rep.th", "rep.s", "rep.e", "rep.p")
     starts = C.materialise(_settle(_contexts(docs, wanted, length), length), "starts")
     lists = starts.groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2")).agg(F.collect_list(F.struct("x", "y")).alias("xy"))
+    # A table of its own: a join of two shuffles, of which large partitions can be split.
+    lists = C.materialise(lists, "lists")
     hit = places.join(lists, (places.c1 == lists.d1) & (places.c2 == lists.d2)).select("doc_id", "th", F.explode(F.transform("xy", lambda r: F.struct((F.col("s") + r["x"]).alias("a"), (F.col("s") + r["y"] + length).alias("b")))).alias("r"))
     return hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
 
