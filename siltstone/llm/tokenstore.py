@@ -17,7 +17,6 @@ are ordered by the text's hash; an empty table gives no shard and no row; extra
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from array import array
@@ -38,7 +37,7 @@ END_ID = 0
 #: A task starts another shard file beyond this many ids, which bounds its memory.
 SHARD_IDS = 1 << 23
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -59,24 +58,29 @@ class Encoder:
         rule = json.loads(self.tokenizer.to_str())
         pre = rule.get("pre_tokenizer") or {}
         self.split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not rule.get("normalizer") and rule["model"]["type"] == "BPE"
-        self.known: dict[str, bytes] = {}
+        #: None stands for a piece that begins or ends with white space.
+        self.known: dict[str, bytes | None] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in kept]
-        self.letters = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(other)}
-        self.odd = re.compile(r"\s\s|^\s|\s$")
+        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.space = self.letters[32]
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+    def _word(self, lead: str, word: str) -> bytes:
+        """Ids of one word of letters (or one other token), after a space or not."""
+        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(self.space + mapped if lead else mapped)]).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
         """Ids of pieces; a piece that does not begin with a line feed stands for itself after a space."""
         known, slow = self.known, []
         for piece in missing:
             lead, body = ("", piece[1:]) if piece[:1] == "\n" else (" ", piece)
+            if not body or body[0].isspace() or body[-1].isspace():
+                known[piece] = None
+                continue
             tail = ""
             if body[-1:] in ",.":
                 body, tail = body[:-1], body[-1]
@@ -85,25 +89,29 @@ class Encoder:
                 continue
             ids = known.get(body) if lead else None
             if ids is None:
-                ids = self._word(lead + body)
+                ids = self._word(lead, body)
                 if lead:
                     known[body] = ids
-            known[piece] = (b"" if lead else self._word("\n")) + ids + (self._word(tail) if tail else b"")
+            known[piece] = (b"" if lead else self._word("", "\n")) + ids + (self._word("", tail) if tail else b"")
         for piece, found in zip(slow, self.tokenizer.encode_batch([p if p[:1] == "\n" else " " + p for p in slow], add_special_tokens=False)):
             known[piece] = self._pack(found.ids)
 
     def encode(self, text: str) -> bytes:
-        if not self.split or self.odd.search(text) or not text:
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
         first, *rest = text.replace("\n", " \n").split(" ")
-        known = self.known
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            self._learn({p for p in rest if p not in known})
-            tail = b"".join(map(known.__getitem__, rest))
+        known, tail = self.known, None
+        if self.split and first and not first[-1].isspace():
+            for _ in range(2):
+                try:
+                    tail = b"".join(map(known.__getitem__, rest))
+                    break
+                except KeyError:
+                    if len(known) > CACHE_WORDS:
+                        known.clear()
+                    self._learn({p for p in rest if p not in known})
+                except TypeError:
+                    break
+        if tail is None:
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return self._pack(self.tokenizer.encode(first, add_special_tokens=False).ids) + tail
 
 
