@@ -76,7 +76,8 @@ def mixture(docs, labels, want=(1.0, 0.0, 0.0), tolerance=0.05):
         per[kind[i]].update(ws)
     live = [k for k in names if 0 < share[k] < 1]
     z = lambda w: max(abs(per[k][w] - df[w] * share[k]) / math.sqrt(df[w] * share[k] * (1 - share[k])) for k in live)
-    model = {w: {k: math.log((per[k][w] + share[k]) / (share[k] * (df[w] + 1))) if k in live else 0.0 for k in names} for w in df if df[w] >= 5 and z(w) >= 4}
+    model = {w: {k: math.log((per[k][w] + share[k]) / (share[k] * (df[w] + 1))) if k in live else 0.0 for k in names} for w in df if df[w] >= max(5, 0.004 * len(train)) and z(w) >= 4}
+    model = {w: v for w, v in model.items() if max([v[k] for k in live] + [0]) >= math.log(3)}
     ids = sorted(docs)
     post = []
     for i in ids:
@@ -88,17 +89,12 @@ def mixture(docs, labels, want=(1.0, 0.0, 0.0), tolerance=0.05):
     before = (n[:, None] * p).sum(axis=0)
     weight = np.array(want) / sum(want)
     budget = min(b / w for b, w in zip(before, weight) if w > 0 and b > 0)
-    target, rate, past, step = weight * budget, np.ones(len(ids)), math.inf, 1.0
-    for _ in range(20):
+    target, rate = weight * budget, np.ones(len(ids))
+    for _ in range(30):
         gap = (n[:, None] * p * rate[:, None]).sum(axis=0) - target
-        size = np.abs(gap).sum()
-        if size <= tolerance * budget:
+        if np.abs(gap).sum() <= tolerance * budget:
             break
-        step = step / 2 if size > past else min(1.0, step * 1.5)
-        past = size
-        live_p = p[rate > 0]
-        g = (live_p * n[rate > 0][:, None]).T @ live_p
-        rate = np.maximum(0, rate - p @ (step * np.linalg.solve(g + np.eye(3) * max(1e-9, 1e-6 * np.trace(g)), gap)))
+        rate = np.maximum(0, rate - p @ np.where(before > 0, gap / np.where(before > 0, before, 1), 0))
     return {i: docs[i] for i, r in zip(ids, rate) if r >= 0.5}
 
 
