@@ -205,3 +205,27 @@ def test_fuzzy_passage_with_edits(spark):
     df = spark.createDataFrame([(0, " ".join(words(50) + p + words(50))), (1, " ".join(words(9) + q)), (2, " ".join(words(300)))], "doc_id long, text string")
     out = {r.doc_id: r for r in chaining.find(df).collect()}
     assert set(out) == {0, 1} and out[0].dup_words >= 75 and out[0].n_links == 1
+
+
+def test_two_passages_around_different_bodies(spark):
+    """Both bodies are too long for one passage, and short enough for one chain."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    head, foot = words(60), words(60)
+    df = spark.createDataFrame([(i, " ".join(head + words(110) + foot)) for i in range(3)], "doc_id long, text string")
+    out = chaining.find(df).collect()
+    assert {(r.doc_id, r.class_id, r.n_passages, r.spans) for r in out} == {(i, 0, 2, "0:60,170:230") for i in range(3)}
+
+
+def test_a_chain_is_cut_into_its_similar_ranges():
+    rng = np.random.default_rng(2)
+    head, mid, foot = (rng.integers(1, 1 << 60, n).astype(np.uint64) for n in (50, 50, 70))
+    noise = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    a, b = (np.concatenate([head, noise(100), mid, noise(100), foot]) for _ in range(2))
+    xs = [3, 20, 40, 155, 190, 301, 350]
+    assert chaining.similar(a, b, xs, xs) == [(0, 50, 0, 50, 50), (150, 200, 150, 200, 50), (300, 370, 300, 370, 70)]
+    # Matches on other diagonals that overlap make runs that do not.
+    c = np.array([7, 7, 7, 8, 7, 7, 7, 7, 8], np.uint64)
+    for x, y, n in (found := chaining.runs(c, c[1:], [1, 4], [0, 4])):
+        assert (c[x : x + n] == c[1:][y : y + n]).all()
+    assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(found, found[1:]))
