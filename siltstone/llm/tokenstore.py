@@ -47,13 +47,14 @@ class Encoder:
 
     The pre-tokeniser always cuts before a single space that stands between two characters other than
     white space, and around a single line feed there. So such pieces are encoded one by one, each once
-    for as long as it is remembered. Any other white space sends the text through encode() as it is."""
+    for as long as it is remembered. Any other white space sends the text through encode() as it is, and
+    so does the content of an added token, which the library finds before it cuts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         rule = json.loads(self.tokenizer.to_str())
         pre = rule.get("pre_tokenizer") or {}
@@ -99,7 +100,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         known, tail = self.known, None
-        if self.split and first and not first[-1].isspace():
+        if self.split and first and not first[-1].isspace() and not any(x in text for x in self.added):
             for _ in range(2):
                 try:
                     tail = b"".join(map(known.__getitem__, rest))

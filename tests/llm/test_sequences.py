@@ -66,6 +66,26 @@ def test_token_shards_round_trip(spark, docs, rows, tokenizer, limit):
     assert (told.count() > 4) == (limit == 500)
 
 
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "ab", " cd", "é,", "12"]), max_size=12))
+def test_encoder_equals_an_untouched_library(parts):
+    from tokenizers import Tokenizer
+
+    text = "".join(parts)
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    assert np.frombuffer(tokenstore.encoder(queries.tokenizer_path()).encode(text), np.uint16).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_token_shards_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["foo <|endoftext|> bar", "foo bar", "<|endoftext|>"]
+    got = tokenstore.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_path()).orderBy("doc_id").collect()
+    ids = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+    assert [r.start for r in got] == [0, *np.cumsum([len(x) for x in ids])[:-1].tolist()]
+
+
 def test_token_shards_of_nothing(spark, empty):
     assert tokenstore.digest(empty, queries.tokenizer_path()).collect() == []
 
