@@ -23,6 +23,7 @@ labelled documents has posterior 0; rows that repeat are rows of their own; an e
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -36,12 +37,13 @@ TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
 TRAIN_ROWS = 20_000
 MODEL_WORDS = 50_000
 MIN_DOCS = 5
-#: Words of a smaller share of the labelled documents say little of any but their own few.
+#: Words that in no domain reach this share of its labelled documents say little of any but their own few.
 MIN_SHARE = 0.004
 Z = 4.0
 MIN_RATIO = math.log(3)
 ROUNDS = 30
 TOLERANCE = 1e-3
+LOG = logging.getLogger(__name__)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
@@ -63,10 +65,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, floa
     weight = [(F.ln((F.col(k) + share[k]) / (share[k] * (F.col("df") + 1.0))) if k in live else F.lit(0.0)).alias(k) for k in DOMAINS]
     z = [F.abs(F.col(k) - F.col("df") * share[k]) / F.sqrt(F.col("df") * share[k] * (1 - share[k])) for k in live]
     strength = F.greatest(*z, F.lit(0.0)) if z else F.lit(0.0)
-    scored = seen.where(F.col("df") >= max(MIN_DOCS, MIN_SHARE * total)).withColumn("s", strength).where(F.col("s") >= Z).select("wh", "s", *weight)
+    # By domain: a small one has as much of a say as a large one.
+    often = F.greatest(*[F.col(k) >= max(MIN_DOCS, MIN_SHARE * counts.get(k, 0)) for k in live], F.lit(False)) if live else F.lit(False)
+    scored = seen.where(often).withColumn("s", strength).where(F.col("s") >= Z).select("wh", "s", *weight)
     # Mild ratios come from what whole groups of words share (a language, a length): hundreds of them in
-    # a text would outweigh its few telling words, as the classifier takes words to be independent.
-    telling = F.greatest(*[F.col(k) for k in live], F.lit(0.0)) if live else F.lit(0.0)
+    # a text would outweigh its few telling words, as the classifier takes words to be independent. A ratio tells
+    # in both directions: no word can speak loudly for a domain of most documents, but against the others.
+    telling = F.greatest(*[F.abs(F.col(k)) for k in live], F.lit(0.0)) if live else F.lit(0.0)
     model = scored.where(telling >= MIN_RATIO).orderBy(F.desc("s"), "wh").limit(MODEL_WORDS).select("wh", *DOMAINS)
     return C.materialise(model, "model"), share
 
@@ -98,7 +103,8 @@ def totals(rows: DataFrame, p: dict[str, Column], rate: Column) -> dict[str, flo
 
 
 def fit(rows: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[Column, dict]:
-    """The rate as a column over p_*, and the totals: before, target and fitted of each domain.
+    """The rate as a column over p_*, and the totals: before, target and fitted of each domain; ``met`` says
+    whether the fit ended by the tolerance. If not, a warning gives the totals.
 
     ``targets`` are weights; ``budget`` is the sum of the targets in tokens. By default it is the most
     that the weights allow without rates far above one: the least of total_k / weight_k. Iterations end
@@ -111,14 +117,21 @@ def fit(rows: DataFrame, targets: dict[str, float] | None = None, budget: float
         budget = min([before[k] / weight[k] for k in DOMAINS if weight[k] > 0 and before[k] > 0] or [0.0])
     want = {k: weight[k] * budget for k in DOMAINS}
     rate, now, done = F.lit(1.0), before, 0
+
+    def met() -> bool:
+        return sum(abs(now[k] - want[k]) for k in DOMAINS) <= tolerance * max(budget, 1.0)
+
     for done in range(1, rounds + 1):
-        gap = {k: now[k] - want[k] for k in DOMAINS}
-        if sum(map(abs, gap.values())) <= tolerance * max(budget, 1.0):
+        if met():
             break
+        gap = {k: now[k] - want[k] for k in DOMAINS}
         move = sum((p[k] * F.lit(gap[k] / before[k]) for k in DOMAINS if before[k] > 0), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - move)
         now = totals(rows, p, rate)
-    return rate, {"before": before, "target": want, "fitted": now, "rounds": done}
+    told = {"before": before, "target": want, "fitted": now, "rounds": done, "met": met()}
+    if not told["met"]:
+        LOG.warning("mixing: after %d rounds the fitted totals %s miss the targets %s", done, now, want)
+    return rate, told
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:

@@ -158,5 +158,25 @@ def test_mixing_classifies_and_draws(spark):
     assert len(mixing.digest(docs, labels.limit(0)).collect()) == 404
 
 
+def test_mixing_with_a_small_domain_meets_its_targets(spark):
+    """1 % toxic, each toxic word in 0.3 % of all documents; good words only in most of the good ones."""
+    rng = np.random.default_rng(4)
+    own = {"toxic": [f"bad{j}" for j in range(10)], "high": [f"good{j}" for j in range(10)], "low": [f"poor{j}" for j in range(10)]}
+    kinds = ["toxic" if i % 100 == 0 else "low" if i % 5 == 1 else "high" for i in range(2000)]
+    many = {"toxic": 3, "high": 6, "low": 6}
+    text = lambda k: " ".join([*rng.choice(own[k], many[k], replace=False), *(f"w{x}" for x in rng.integers(0, 300, 20))])
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == "high"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    rows = mixing.posteriors(docs, labels).cache()
+    right = {r.doc_id: r[f"p_{kinds[r.doc_id]}"] for r in rows.collect()}
+    for k in mixing.DOMAINS:
+        assert np.mean([right[i] for i in range(2000) if kinds[i] == k]) > 0.95, k
+    _, told = mixing.fit(rows)
+    assert sum(abs(told["fitted"][k] - told["target"][k]) for k in mixing.DOMAINS) <= 0.01 * sum(told["target"].values())
+    assert told["met"] == (sum(abs(told["fitted"][k] - told["target"][k]) for k in mixing.DOMAINS) <= mixing.TOLERANCE * sum(told["target"].values()))
+    same = spark.createDataFrame([(10, 0.5, 0.3, 0.2)], "n long, p_high double, p_low double, p_toxic double")
+    assert not mixing.fit(same)[1]["met"]
+
+
 def test_mixing_is_spread_over_exact_keys(docs, spark):
     assert mixing.posteriors(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).where(F.col("n").isNull()).count() == 0
