@@ -8,8 +8,8 @@ from siltstone.llm import common, decontam, mixing, queries, rules, simhash, tok
 
 #: Weights of the mixing stage: all expected tokens of good text, none of low or toxic text.
 MIX = {"high": 1.0, "low": 0.0, "toxic": 0.0}
-#: The fit ends when the totals miss their targets by this share: nearer fits take the last traces of
-#: other domains out of good documents.
+#: The fit ends when the totals miss their targets by this share of the budget, and each domain by this
+#: share of its own total: nearer fits take the last traces of other domains out of good documents.
 MIX_TOLERANCE = 0.05
 
 

@@ -108,7 +108,8 @@ def fit(rows: DataFrame, targets: dict[str, float] | None = None, budget: float
 
     ``targets`` are weights; ``budget`` is the sum of the targets in tokens. By default it is the most
     that the weights allow without rates far above one: the least of total_k / weight_k. Iterations end
-    when the gaps sum to at most ``tolerance`` times the budget."""
+    when the gaps sum to at most ``tolerance`` times the budget and each is at most ``tolerance`` times its
+    domain's own total: a small domain's target is not met by being small."""
     targets = targets or TARGETS
     p = {k: F.col(f"p_{k}") for k in DOMAINS}
     before = totals(rows, p, F.lit(1.0))
@@ -119,7 +120,8 @@ def fit(rows: DataFrame, targets: dict[str, float] | None = None, budget: float
     rate, now, done = F.lit(1.0), before, 0
 
     def met() -> bool:
-        return sum(abs(now[k] - want[k]) for k in DOMAINS) <= tolerance * max(budget, 1.0)
+        gaps = {k: abs(now[k] - want[k]) for k in DOMAINS}
+        return sum(gaps.values()) <= tolerance * max(budget, 1.0) and all(gaps[k] <= tolerance * before[k] for k in DOMAINS if before[k] > 0)
 
     for done in range(1, rounds + 1):
         if met():

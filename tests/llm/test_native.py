@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import decontam, linededup, mixing, queries, secrets
 
 
@@ -173,10 +174,18 @@ def test_mixing_with_a_small_domain_meets_its_targets(spark):
         assert np.mean([right[i] for i in range(2000) if kinds[i] == k]) > 0.95, k
     _, told = mixing.fit(rows)
     assert sum(abs(told["fitted"][k] - told["target"][k]) for k in mixing.DOMAINS) <= 0.01 * sum(told["target"].values())
-    assert told["met"] == (sum(abs(told["fitted"][k] - told["target"][k]) for k in mixing.DOMAINS) <= mixing.TOLERANCE * sum(told["target"].values()))
     same = spark.createDataFrame([(10, 0.5, 0.3, 0.2)], "n long, p_high double, p_low double, p_toxic double")
     assert not mixing.fit(same)[1]["met"]
 
 
+def test_the_pipeline_drops_a_small_toxic_domain(spark):
+    """1 % toxic documents are less than the tolerance times the budget, and go all the same."""
+    kinds = ["toxic" if i % 100 == 0 else "high" for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"plain words of a {'nasty ugly' if k == 'toxic' else 'good fine'} text n{i}") for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    kept = mixing.draw(docs, labels, corpus_pipeline.MIX, tolerance=corpus_pipeline.MIX_TOLERANCE, rounded=True)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, k in enumerate(kinds) if k == "high"]
+
+
 def test_mixing_is_spread_over_exact_keys(docs, spark):
     assert mixing.posteriors(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).where(F.col("n").isNull()).count() == 0
