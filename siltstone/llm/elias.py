@@ -7,10 +7,14 @@ only directory."""
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 
 MAGIC = b"SEF1"
+#: Values that one step of a walk decodes, and the share of them (one in DENSE) that have to be asked for.
+SEGMENT = 1 << 15
+DENSE = 24
 HEAD = struct.Struct("<4sBxxxQQQ")
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SEL8 = np.zeros((256, 8), np.uint8)
@@ -70,14 +74,16 @@ class EliasFano:
         second = np.where(shift > 0, words[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return (first | second) & np.uint64((1 << self.low_bits) - 1)
 
-    def _select(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th one of the bit vector."""
+    def _select(self, k: np.ndarray, directory: np.ndarray | None = None, zeros: bool = False) -> np.ndarray:
+        """Position of the k-th one (or zero) of the bit vector."""
+        directory = self.counts if directory is None else directory
         out = np.empty(len(k), np.int64)
         for a in range(0, len(k), 1 << 14):
             kk = k[a : a + (1 << 14)]
-            block = np.searchsorted(self.counts, kk, "right") - 1
-            rest = kk - self.counts[block]
+            block = np.searchsorted(directory, kk, "right") - 1
+            rest = kk - directory[block]
             octets = self.high.reshape(-1, 64)[block]
+            octets = ~octets if zeros else octets
             ones = _POP8[octets].cumsum(axis=1, dtype=np.int64)
             octet = (ones <= rest[:, None]).sum(axis=1)
             row = np.arange(len(kk))
@@ -104,16 +110,76 @@ class EliasFano:
         i = np.arange(a, b)
         return (ones - i).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(i)
 
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """Every ``SEGMENT``-th value."""
+        return self.select(np.arange(0, self.n, SEGMENT))
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values for ascending i: segments that many ask for are decoded, others answer by select."""
+        i = np.asarray(i, np.int64)
+        out = np.empty(len(i), np.uint64)
+        sparse = np.ones(len(i), bool)
+        cuts = np.searchsorted(i, np.arange(0, self.n + SEGMENT, SEGMENT))
+        for s in np.flatnonzero(np.diff(cuts) * DENSE >= SEGMENT).tolist():
+            a, b = cuts[s], cuts[s + 1]
+            low, high = int(i[a]), int(i[b - 1]) + 1
+            out[a:b] = self.decode(low, high)[i[a:b] - low]
+            sparse[a:b] = False
+        if sparse.any():
+            out[sparse] = self.select(i[sparse])
+        return out
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part below ``high``: ones before the zero that ends the part before."""
+        zeros = np.arange(len(self.counts)) * 512 - self.counts
+        k = high.astype(np.int64) - 1
+        out = np.where(k < 0, 0, self.n)
+        ask = np.flatnonzero((k >= 0) & (k < zeros[-1]))
+        if len(ask):
+            out[ask] = self._select(k[ask], zeros, True) - k[ask]
+        return out
+
+    def _search(self, x: np.ndarray) -> np.ndarray:
+        """Successor indices by two selects of zeros and a search among the low bits between them."""
+        high = np.minimum(x >> np.uint64(self.low_bits), np.uint64(self.n_bits + 1))
+        lo, hi = self._below(high), self._below(high + np.uint64(1))
+        low = x & np.uint64((1 << self.low_bits) - 1)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            below = self._lows(mid) < low[open_]
+            lo[open_] = np.where(below, mid + 1, lo[open_])
+            hi[open_] = np.where(below, hi[open_], mid)
+        return lo
+
     def successor(self, x) -> tuple[np.ndarray, np.ndarray]:
-        """For each x the index of the first value >= x (n if none) and that value (0 if none)."""
+        """For each x the index of the first value >= x (n if none) and that value (0 if none).
+
+        Ascending x walk the sequence once: a segment that many of them fall in is decoded, a few search."""
         x = np.atleast_1d(np.asarray(x, np.uint64))
-        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), self.n, np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            below = np.zeros(len(x), bool)
-            below[open_] = self.select(mid[open_]) < x[open_]
-            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-        value = np.zeros(len(x), np.uint64)
-        some = lo < self.n
-        value[some] = self.select(lo[some])
-        return lo, value
+        at, value = np.full(len(x), self.n, np.int64), np.zeros(len(x), np.uint64)
+        if not self.n or not len(x):
+            return at, value
+        if (x[1:] < x[:-1]).any():
+            order = np.argsort(x, kind="stable")
+            at[order], value[order] = self.successor(x[order])
+            return at, value
+        cuts = np.append(np.searchsorted(x, self.edges, "right"), len(x))
+        at[: cuts[0]], value[: cuts[0]] = 0, self.edges[0]
+        sparse = np.zeros(len(x), bool)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b, first = cuts[s], cuts[s + 1], s * SEGMENT
+            if (b - a) * DENSE < SEGMENT:
+                sparse[a:b] = True
+                continue
+            # One value more, so that what lies beyond the segment's last is at hand.
+            own = self.decode(first, min(first + SEGMENT + 1, self.n))
+            found = np.searchsorted(own, x[a:b])
+            at[a:b] = first + found
+            value[a:b] = np.where(found < len(own), own[np.minimum(found, len(own) - 1)], np.uint64(0))
+        some = np.flatnonzero(sparse)
+        if len(some):
+            at[some] = self._search(x[some])
+            some = some[at[some] < self.n]
+            value[some] = self.select(at[some])
+        return at, value

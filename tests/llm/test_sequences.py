@@ -29,6 +29,21 @@ def test_elias_fano(values, shift):
         assert e.successor(probe)[0].tolist() == np.searchsorted(v, probe).tolist()
 
 
+@pytest.mark.parametrize("n, step", [(1, 5), (5, 0), (3000, 1), (70_000, 3), (70_000, 2**40)])
+def test_elias_fano_walks_and_searches_alike(n, step):
+    rng = np.random.default_rng(n)
+    v = np.cumsum(rng.integers(0, step + 1, n)).astype(np.uint64)
+    e = elias.EliasFano(np.frombuffer(elias.encode(v), np.uint8))
+    for m in (1, 200, 20_000):
+        x = np.append(np.sort(rng.integers(0, int(v[-1]) + 3, m, dtype=np.uint64)), np.uint64(2**64 - 1))
+        want = np.searchsorted(v, x)
+        at, value = e.successor(x)
+        assert (at == want).all() and (value == np.where(want < n, v[np.minimum(want, n - 1)], 0)).all()
+        assert (e._search(x) == want).all()
+        i = np.sort(rng.integers(0, n, m))
+        assert (e.take(i) == v[i]).all()
+
+
 def test_elias_fano_is_small_and_refuses_disorder():
     v = np.cumsum(np.random.default_rng(1).integers(0, 2000, 100_000)).astype(np.uint64)
     # 2 + ceil(log2(u / n)) bits each, and 64 bits of directory for each 512.
@@ -90,6 +105,22 @@ def test_token_shards_of_nothing(spark, empty):
     assert tokenstore.digest(empty, queries.tokenizer_path()).collect() == []
 
 
+def test_runs_of_counts_pack_and_unpack():
+    key = np.sort(np.random.default_rng(3).integers(0, 2**64 - 1, 500, dtype=np.uint64))
+    count = np.where(np.arange(500) % 7, 3, 2**40 + np.arange(500))
+    extra = (np.arange(500) % 256).astype(np.uint8)
+    got = ngram_lm.unpack_run(ngram_lm.pack_run(key, count, extra))
+    assert all((a == b).all() for a, b in zip(got, (key, count, extra)))
+
+
+def test_storing_all_ngrams_scores_training_texts_higher(docs):
+    totals = []
+    for least in (2, 1):
+        model, ids = ngram_lm.train(docs, min_count=least)
+        totals.append(ngram_lm.score(model, ids).where("not held_out").agg(F.sum("score")).first()[0])
+    assert totals[1] > totals[0]
+
+
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) + [0]
 
@@ -126,11 +157,10 @@ def test_language_model_equals_brute_force(docs, rows, monkeypatch, shard):
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score(model, ids).collect())
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
-        assert abs(a[6] - b[6]) <= 0.08 * b[2]
+        assert abs(a[6] - b[6]) <= 0.03 * b[2]
     # Each distribution sums to one over the vocabulary and one unknown word.
     u = max(s2, key=s2.get)
     assert sum(p2(u, w) for w in [*c1, "?"]) == pytest.approx(1)
-    assert sum(10 ** x for x in []) == 0
 
 
 def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
