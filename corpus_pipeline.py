@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import common, decontam, mixing, queries, rules, simhash, tokenstore
 
-#: Weights of the mixing stage: all expected tokens of good text, none of low or toxic text.
-MIX = {"high": 1.0, "low": 0.0, "toxic": 0.0}
-#: The fit ends when the totals miss their targets by this share of the budget, and each domain by this
-#: share of its own total: nearer fits take the last traces of other domains out of good documents.
-MIX_TOLERANCE = 0.05
+#: Weights of the mixing stage: what is kept of each domain's expected words.
+MIX = {"high": 1.0, "low": 1.0, "toxic": 0.0}
+#: What staying near a rate of one weighs: good documents are not given up for the last traces of other domains.
+MIX_SLACK = 0.005
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.draw(docs, queries.table(spark, sf_dir, "labels"), MIX, tolerance=MIX_TOLERANCE, rounded=True)
+    return mixing.draw(docs, queries.table(spark, sf_dir, "labels"), keep=MIX, slack=MIX_SLACK)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ class EliasFano:
         if a >= b:
             return np.zeros(0, np.uint64)
         first, last = np.searchsorted(self.counts, [a, b - 1], "right") - 1
-        bits = np.unpackbits(np.asarray(self.high[first * 64 : (last + 1) * 64]), bitorder="little")
+        bits = np.unpackbits(np.asarray(self.high[first * 64 : (last + 1) * 64]), bitorder="little").view(bool)
         ones = np.flatnonzero(bits)[a - self.counts[first] : b - self.counts[first]] + first * 512
         i = np.arange(a, b)
         return (ones - i).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(i)

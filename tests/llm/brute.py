@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import regex
 import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,37 +66,83 @@ def decontaminate(docs, items):
     return {i: t for i, t in docs.items() if not bad(t)}
 
 
-def mixture(docs, labels, want=(1.0, 0.0, 0.0), tolerance=0.05):
-    kind = {i: "toxic" if t else "high" if q else "low" for i, (q, t) in labels.items()}
-    names = ("high", "low", "toxic")
-    train = {i: set(words(docs[i])) for i in docs if i in kind}
-    share = {k: sum(kind[i] == k for i in train) / len(train) for k in names}
-    df, per = collections.Counter(), {k: collections.Counter() for k in names}
-    for i, ws in train.items():
-        df.update(ws)
-        per[kind[i]].update(ws)
-    live = [k for k in names if 0 < share[k] < 1]
-    z = lambda w: max(abs(per[k][w] - df[w] * share[k]) / math.sqrt(df[w] * share[k] * (1 - share[k])) for k in live)
-    model = {w: {k: math.log((per[k][w] + share[k]) / (share[k] * (df[w] + 1))) if k in live else 0.0 for k in names} for w in df if df[w] >= max(5, 0.004 * len(train)) and z(w) >= 4}
-    model = {w: v for w, v in model.items() if max([v[k] for k in live] + [0]) >= math.log(3)}
-    ids = sorted(docs)
-    post = []
-    for i in ids:
-        own = set(words(docs[i]))
-        logit = np.array([math.log(share[k]) + sum(model[w][k] for w in own if w in model) if share[k] else -np.inf for k in names])
-        e = np.exp(logit - logit.max())
-        post.append(e / e.sum())
-    p, n = np.array(post), np.array([len(words(docs[i])) for i in ids])
+DOMAINS = ("high", "low", "toxic")
+
+
+def features(text):
+    runs = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    loud = len(regex.sub(r"[\p{Ll}\p{N} \t\n\x0B\f\r]+", "", text))
+    return {*runs, f" loud {8 * loud // max(len(text), 1)}", f" fresh {8 * len(set(runs)) // max(len(runs), 1)}"}
+
+
+def telling(have, lack):
+    """Weights of the features that tell the documents of ``have`` from those of ``lack``."""
+    n, m = len(have), len(lack)
+    if not n:
+        return {}
+    a, b = (collections.Counter(w for x in side for w in x) for side in (have, lack))
+    out = {}
+    for w, c in a.items():
+        t, share = c + b[w], n / (n + m)
+        z = (c - t * share) / math.sqrt(max(t * share * (1 - share), 1e-9))
+        weight = math.log((c + 0.5) / (n + 1)) - math.log((b[w] + 0.5) / (m + 1))
+        if c >= 3 and z >= 4 and weight >= math.log(3):
+            out[w] = weight
+    return out
+
+
+def posteriors(texts, kind, fold):
+    """texts: id -> text; kind: id -> domain and fold: id -> 0 or 1 of the labelled ones. Returns id -> [p of DOMAINS]."""
+    own = {i: features(t or "") for i, t in texts.items()}
+    left, out, yes = {i for i in kind if i in own}, {i: [0.0] * 3 for i in own}, {i: 1.0 for i in own}
+    if not left:
+        return {i: [1 / 3] * 3 for i in own}
+    for k, step in ((2, "toxic"), (1, "low")):
+        def model(ids):
+            a, b = [[own[i] for i in ids if (kind[i] == step) == side] for side in (True, False)]
+            return (telling(a, b), 1) if len(a) <= len(b) else (telling(b, a), -1)
+
+        place = lambda i, m: min(int(max([m[w] for w in own[i] if w in m], default=0.0) / 0.75), 13)
+        halves = [model([i for i in left if fold[i] != f])[0] for f in range(4)]
+        whole, sign = model(left)
+        hits, all_ = [0] * 14, [0] * 14
+        for i in left:
+            at = place(i, halves[fold[i]])
+            all_[at] += 1
+            hits[at] += kind[i] == step
+        a, n = sum(hits), sum(all_)
+        if a in (0, n):
+            curve = [float(a > 0)] * 14
+        else:
+            odds = [a / (n - a) * math.exp(sign * (i + 0.5) * 0.75 * (i > 0)) for i in range(14)]
+            top = [h + o / (1 + o) for h, o in zip(hits, odds)]
+            size = [x + 1.0 for x in all_]
+            # The best monotone curve, by its min-max formula.
+            mean = lambda i, j: sum(top[i : j + 1]) / sum(size[i : j + 1])
+            inner, outer = (min, max) if sign > 0 else (max, min)
+            curve = [outer(inner(mean(u, v) for v in range(i, 14)) for u in range(i + 1)) for i in range(14)]
+        for i in own:
+            p = curve[place(i, whole)]
+            out[i][k], yes[i] = p * yes[i], yes[i] * (1 - p)
+        left = {i for i in left if kind[i] != step}
+    for i in own:
+        out[i][0] = yes[i]
+    return out
+
+
+def rates(n, p, want, slack):
+    """The minimum of sum gap**2 / B + slack * sum n (r - 1)**2 over r >= 0, by plain projected gradient in many small steps."""
+    n, p, want = np.asarray(n, float), np.asarray(p, float), np.asarray(want, float)
     before = (n[:, None] * p).sum(axis=0)
-    weight = np.array(want) / sum(want)
-    budget = min(b / w for b, w in zip(before, weight) if w > 0 and b > 0)
-    target, rate = weight * budget, np.ones(len(ids))
-    for _ in range(30):
-        gap = (n[:, None] * p * rate[:, None]).sum(axis=0) - target
-        if np.abs(gap).sum() <= tolerance * budget:
-            break
-        rate = np.maximum(0, rate - p @ np.where(before > 0, gap / np.where(before > 0, before, 1), 0))
-    return {i: docs[i] for i, r in zip(ids, rate) if r >= 0.5}
+    share = np.where(before > 0, 1 / np.where(before > 0, before, 1), 0)
+    r = y = np.ones(len(n))
+    t = 1.0
+    for _ in range(20_000):
+        gap = (n[:, None] * p * y[:, None]).sum(axis=0) - want
+        new = np.maximum(0, y - (p @ (share * gap) + slack * (y - 1)) / (1 + slack))
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = new + (t - 1) / after * (new - r), new, after
+    return r
 
 
 def tokens(docs, encode):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from . import brute
 from siltstone.llm import decontam, linededup, mixing, queries, secrets
 
 
@@ -151,7 +152,7 @@ def test_mixing_classifies_and_draws(spark):
     out = mixing.digest(docs, labels).collect()
     assert len(out) == 404
     assert all((r.p_toxic > 0.9) == (r.doc_id % 4 == 0) for r in out if r.doc_id is not None and r.doc_id < 400)
-    kept = mixing.draw(docs, labels, {"high": 1.0, "low": 0.0, "toxic": 0.0}, tolerance=0.05, rounded=True)
+    kept = mixing.draw(docs, labels, keep={"high": 1.0, "low": 0.0, "toxic": 0.0})
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns
     assert {i for i in ids if i is not None and i < 400} == {i for i in range(400) if i % 4} and ids.count(5) == 2
@@ -183,9 +184,42 @@ def test_the_pipeline_drops_a_small_toxic_domain(spark):
     kinds = ["toxic" if i % 100 == 0 else "high" for i in range(1000)]
     docs = spark.createDataFrame([(i, f"plain words of a {'nasty ugly' if k == 'toxic' else 'good fine'} text n{i}") for i, k in enumerate(kinds)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
-    kept = mixing.draw(docs, labels, corpus_pipeline.MIX, tolerance=corpus_pipeline.MIX_TOLERANCE, rounded=True)
+    kept = mixing.draw(docs, labels, keep=corpus_pipeline.MIX, slack=corpus_pipeline.MIX_SLACK)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, k in enumerate(kinds) if k == "high"]
 
 
+def test_mixing_query_equals_brute_force(spark, sf):
+    """Posteriors and rates of the registered query, each re-derived: the posteriors from plain sets, the rates by another
+    solver, to which the same targets are given."""
+    import re
+
+    got = {r.doc_id: r for r in queries.op4_mixing(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    few = {r.k_id: r for r in mixing.sample(queries.table(spark, sf, "labels")).collect()}
+    post = brute.posteriors(texts, {i: r.domain for i, r in few.items()}, {i: r.fold for i, r in few.items()})
+    assert len(got) == len(texts)
+    for i, p in post.items():
+        assert [got[i].p_high, got[i].p_low, got[i].p_toxic] == pytest.approx(p, abs=2e-6)
+    ids, n = sorted(texts), np.array([len(re.findall(brute.WORD, texts[i] or "")) for i in sorted(texts)])
+    p = np.array([post[i] for i in ids])
+    before = (n[:, None] * p).sum(axis=0)
+    weight = np.array([mixing.TARGETS[k] for k in mixing.DOMAINS])
+    want = weight * min(b / w for b, w in zip(before, weight) if w)
+    r = brute.rates(n, p, want, mixing.TOLERANCE / 10)
+    assert [got[i].n_tokens for i in ids] == n.tolist()
+    assert [got[i].rate for i in ids] == pytest.approx(r.tolist(), abs=1e-3)
+    gaps = np.abs((n[:, None] * p * r[:, None]).sum(axis=0) - want)
+    assert {x.targets_met for x in got.values()} == {bool(gaps.sum() <= 0.01 * want.sum() and (gaps <= 0.01 * before).all())}
+
+
+def test_mixing_takes_clashing_columns_and_odd_labels(spark):
+    docs = spark.createDataFrame([(i, f"plain words {'awful' if i % 5 == 0 else 'nice'} n{i}", "x", 1.0, 2) for i in range(100)], "doc_id long, text string, domain string, rate double, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0), "y", "z", 3) for i in range(100)] + [(7, None, None, "y", "z", 3)], "doc_id long, quality int, toxic int, text string, th string, n int")
+    out = {r.doc_id: r for r in mixing.digest(docs, labels).collect()}
+    assert len(out) == 100 and all((r.p_toxic > 0.5) == (i % 5 == 0) for i, r in out.items())
+    assert mixing.draw(docs, labels, keep={"high": 1, "low": 1, "toxic": 0}).columns == docs.columns
+    assert mixing.digest(docs, labels.limit(0)).where("abs(p_high - 1 / 3) < 1e-5").count() == 100
+
+
 def test_mixing_is_spread_over_exact_keys(docs, spark):
     assert mixing.posteriors(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).where(F.col("n").isNull()).count() == 0

@@ -1,12 +1,15 @@
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import queries
+from siltstone.llm import mixing, queries
 
 REPO = Path(corpus_pipeline.__file__).parent
 
@@ -39,8 +42,10 @@ def test_clean_documents_stay(spark, sf, stages):
     after = {r.doc_id for r in stages[3][1].collect()}
     clean = [i for i in before if labels.get(i) == (1, 0)]
     assert sum(i in after for i in clean) >= 0.9 * len(clean)
-    toxic = [i for i in before if labels.get(i, (0, 0))[1] == 1]
-    assert sum(i in after for i in toxic) <= 0.5 * len(toxic)
+    insults = {"idiot", "moron", "scum", "trash", "stupid", "loser", "clown", "worthless", "pathetic", "disgusting"}
+    texts = {r.doc_id: r.text for r in stages[2][1].collect()}
+    toxic = [i for i, t in texts.items() if len(insults & set(re.findall("[a-z]+", t.lower()))) >= 2]
+    assert toxic and sum(i in after for i in toxic) <= 0.2 * len(toxic)
 
 
 def test_stages_equal_brute_force(spark, sf, stages):
@@ -51,10 +56,21 @@ def test_stages_equal_brute_force(spark, sf, stages):
     tk = Tokenizer.from_file(queries.tokenizer_path())
     docs = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
     items = [r.text for r in queries.table(spark, sf, "benchmark").collect()]
-    labels = {r.doc_id: (r.quality, r.toxic) for r in queries.table(spark, sf, "labels").collect()}
-    steps = [
-        lambda d: {i: t for i, t in d.items() if brute.quality(t)}, brute.near_duplicates, lambda d: brute.decontaminate(d, items), lambda d: brute.mixture(d, labels),
-    ]
+    labels = queries.table(spark, sf, "labels")
+
+    def mixture(d):
+        few = {r.k_id: r for r in mixing.sample(labels).collect()}
+        post = brute.posteriors(d, {i: r.domain for i, r in few.items()}, {i: r.fold for i, r in few.items()})
+        ids, n = sorted(d), [len(re.findall(brute.WORD, d[i])) for i in sorted(d)]
+        p = np.array([post[i] for i in ids])
+        before = (np.array(n)[:, None] * p).sum(axis=0)
+        keep = [corpus_pipeline.MIX[k] for k in mixing.DOMAINS]
+        r = brute.rates(n, p, keep * before, corpus_pipeline.MIX_SLACK)
+        rows = spark.createDataFrame(list(d.items()), "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+        chance = {x.doc_id: x.c for x in rows.select("doc_id", mixing.chance().alias("c")).collect()}
+        return {i: d[i] for i, x in zip(ids, r) if chance[i] < x}
+
+    steps = [lambda d: {i: t for i, t in d.items() if brute.quality(t)}, brute.near_duplicates, lambda d: brute.decontaminate(d, items), mixture]
     for (name, kept), step in zip(stages[:-1], steps):
         docs = step(docs)
         assert {r.doc_id: r.text for r in kept.collect()} == docs, name
