@@ -1,17 +1,20 @@
 """Secret scans through a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every match satisfies
-(``trigram_query``). The index holds a posting (trigram, row) for each trigram that some rule asks for.
-A rule's query is evaluated by merging the posting lists row by row (one bitwise OR for each row, then
-Boolean tests on the bits), and only candidate texts are scanned with the expression itself. Of each conjunction the two rarest trigrams are asked for. A rule whose
-expression has no mandatory trigram scans every text. Trigrams are taken from lower-cased ASCII letters,
-so that rules in either case share them.
+(``trigram_query``). The index holds all trigrams of all texts, and knows no rule: it is written once
+(``build_index``), opened again (``open_index``) and serves any rule later. A posting is (trigram, block, mask): 64
+neighbouring texts of a scan are a block, and a bit of the mask says that its text has the trigram. So the postings of
+a block are merged before they are shuffled, and a query is evaluated by bitwise AND and OR of the masks of
+its posting lists, block by block. Only candidates are scanned with the expression itself. A rule whose expression
+has no mandatory trigram scans every text. Trigrams are taken from lower-cased texts, so that rules in either
+case share them; they are known by 64-bit hashes, of which a collision adds a candidate at worst.
 
 All matching is done by the JVM's regular expressions in whole texts: the pieces between matches and the
-matches alternate, so that their lengths in code points give every position.
+matches alternate, so that running sums of their lengths in code points give every position.
 
-Edge cases: null or empty text has no spans; rows that repeat have equal results; the lists of a row grow
-with its own matches only; an empty table gives no rows; extra columns are ignored.
+Edge cases: null or empty text has no spans; texts of fewer than three characters have no trigram; very long texts are cut
+into overlapping pieces of ``CHUNK`` characters for the index, not for the matching; rows that repeat have equal results;
+the lists of a row grow with its own matches only; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from functools import reduce
 from re import _parser as sre
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -144,102 +147,106 @@ def trigrams(query) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1:]))
 
 
-#: Letters from frequent to rare in running text; other characters count as rarer than all.
-FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz"
-#: Trigrams that stand for one conjunction: the rarest of them.
-SELECT = 2
+# --- the index ---------------------------------------------------------------------------------
 
 
-def selective(query):
-    """A weaker query over fewer trigrams: each conjunction keeps its rarest ones."""
-    if query is True or query[0] == "tri":
-        return query
-    if query[0] == "or":
-        return any_of(*map(selective, query[1:]))
-    rare = lambda t: sum(FREQUENCY.index(c) if c in FREQUENCY else 30 for c in t)
-    own = sorted((q for q in query[1:] if q[0] == "tri"), key=lambda q: (-rare(q[1]), q[1]))[:SELECT]
-    return all_of(*own, *[selective(q) for q in query[1:] if q[0] != "tri"])
+#: Characters of a text that are taken apart at once.
+CHUNK = 1 << 18
+ALL = "tri long, block long, mask long, th long"
 
 
-def trie_regex(terms: list[str]) -> str:
-    """An expression that captures, without consuming it, any of the trigrams at a position."""
-    first: dict[str, list[str]] = {}
-    for t in terms:
-        first.setdefault(t[0], []).append(re.escape(t[1:]))
-    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + "))"
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the index of all texts: postings (tri, block, mask), and a row for each text without a trigram, whose
+    ``block`` is the text's number, 64 to a block, and ``th`` the hash of the text. The rows of both kinds come from one pass, so that
+    they agree on the numbers whatever was computed again."""
+    rows = docs.where("text is not null").select(F.monotonically_increasing_id().alias("id"), F.xxhash64("text").alias("th"), F.lower("text").alias("low"))
+    pieces = F.sequence(F.lit(0), F.greatest(F.floor((F.length("low") - 3) / CHUNK), F.lit(0)).cast("int"))
+    rows = rows.select("id", "th", "low", F.explode(pieces).alias("k"))
+    rows = rows.select("id", "th", "k", F.split(F.substr("low", F.col("k") * CHUNK + 1, F.lit(CHUNK + 2)), "").alias("cs"))
+    # Start -1 stands for the text itself.
+    start = F.sequence(F.when(F.col("k") == 0, -1).otherwise(0), F.greatest(F.size("cs") - 3, F.when(F.col("k") == 0, -1).otherwise(0)))
+    each = rows.select("id", "th", "cs", F.explode(start).alias("at"))
+    own = F.col("at") < 0
+    tri = F.when(~own, F.xxhash64(*N.window("cs", "at", 3)))
+    each = each.select(tri.alias("tri"), F.when(own, F.col("id")).otherwise(F.shiftright("id", 6)).alias("block"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"), F.when(own, F.col("th")).alias("th"))
+    index = each.groupBy("tri", "block").agg(F.bit_or("bit").alias("mask"), F.max("th").alias("th"))
+    path = path or C.fresh_path(docs.sparkSession, "trigrams")
+    # Sorted, so that a query reads the pages of its trigrams only.
+    index.sortWithinPartitions("tri", "block").write.parquet(path)
+    return open_index(docs.sparkSession, path)
 
 
-# --- the index ---------------------------------------------------------------------------------
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ALL).parquet(path)
 
 
-def build_index(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings (tri, doc_id, th) of the given trigrams, written to the shared folder in trigram order."""
-    rows = docs.where("text is not null").select(*N.row_key(), F.lower("text").alias("low"))
-    # One pass over each text finds all trigrams that any rule asks for.
-    hits = F.array_distinct(F.regexp_extract_all("low", F.lit(trie_regex(terms)), F.lit(1)))
-    posts = rows.select("doc_id", "th", hits.alias("tris")).select(F.explode("tris").alias("tri"), "doc_id", "th")
-    return C.materialise(posts.sortWithinPartitions("tri"), "postings")
+def key_of(tri: str) -> Column:
+    return F.xxhash64(*[F.lit(c) for c in tri])
 
 
-def candidates(index: DataFrame, queries: dict[str, object], terms: list[str]) -> DataFrame:
-    """(doc_id, th, hit_<kind>...) of the rows that satisfy some query: posting lists, intersected."""
-    place = {t: (i // 62, 1 << (i % 62)) for i, t in enumerate(terms)}
-    words = 1 + (len(terms) - 1) // 62 if terms else 1
-    code = [F.coalesce(F.element_at(F.create_map(*[F.lit(x) for t in terms if place[t][0] == w for x in (t, place[t][1])]), F.col("tri")), F.lit(0)).cast("long") for w in range(words)]
-    named = index.where(F.col("tri").isin(terms)).select("doc_id", "th", *[c.alias(f"b{w}") for w, c in enumerate(code)])
-    masks = named.groupBy("doc_id", "th").agg(*[F.bit_or(f"b{w}").alias(f"m{w}") for w in range(words)])
+def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
+    """(th, hit_<kind>...) of the texts that satisfy some query: posting lists, intersected as masks of 64 texts."""
+    terms = sorted(set().union(*map(trigrams, queries.values())))
+    known = index.sparkSession.range(1).select(*[key_of(t) for t in terms]).first()
+    key = dict(zip(terms, known))
+    lists = index.where(F.col("tri").isin(list(key.values())))
+    masks = lists.groupBy("block").agg(*[F.coalesce(F.bit_or(F.when(F.col("tri") == key[t], F.col("mask"))), F.lit(0).cast("long")).alias(f"m{i}") for i, t in enumerate(terms)])
+    place = {t: i for i, t in enumerate(terms)}
 
     def test(q) -> Column:
         if q[0] == "tri":
-            w, bit = place[q[1]]
-            return F.col(f"m{w}").bitwiseAND(F.lit(bit)) != 0
-        return reduce(lambda a, b: a & b if q[0] == "and" else a | b, [test(x) for x in q[1:]])
+            return F.col(f"m{place[q[1]]}")
+        return reduce(lambda a, b: a.bitwiseAND(b) if q[0] == "and" else a.bitwiseOR(b), [test(x) for x in q[1:]])
 
-    flags = {k: test(q) for k, q in queries.items()}
-    rows = masks.select("doc_id", "th", *[c.alias(f"hit_{k}") for k, c in flags.items()])
-    return rows.where(reduce(lambda a, b: a | b, [F.col(f"hit_{k}") for k in flags]))
+    hits = masks.select("block", *[test(q).alias(f"hit_{k}") for k, q in queries.items()])
+    some = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"hit_{k}") for k in queries])
+    hits = hits.withColumn("any", some).where(F.col("any") != 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    on = lambda c: F.expr(f"shiftright({c}, bit) & 1L") == 1
+    hits = hits.where(on("any")).select((F.col("block") * 64 + F.col("bit")).alias("id"), *[on(f"hit_{k}").alias(f"hit_{k}") for k in queries])
+    texts = index.where("tri is null").select(F.col("block").alias("id2"), "th")
+    return hits.join(texts, F.col("id") == F.col("id2")).groupBy("th").agg(*[F.max(f"hit_{k}").alias(f"hit_{k}") for k in queries])
 
 
 # --- verification ------------------------------------------------------------------------------
 
 
-def spans(rule: Rule, order: int) -> Column:
-    """Array of (s, kind order, e) of the rule's matches in ``text``, in code points, end exclusive."""
+def matches(rule: Rule, order: int) -> Column:
+    """The rule's matches in ``text``: its order, and for each match (gap, n, ok), the code points since the match before and
+    of the match, and whether it is long enough."""
     lens = lambda a: F.transform(a, lambda x: F.length(x))
     between, found = lens(F.split("text", rule.regex, -1)), lens(F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0)))
     ok = F.transform(F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group)), lambda x: F.length(x) >= rule.least) if rule.least else F.transform(found, lambda x: F.lit(True))
-    cells = F.zip_with(F.arrays_zip(found.alias("n"), ok.alias("ok")), F.slice(between, F.lit(1), F.size(found)), lambda f, gap: F.struct(gap.alias("gap"), f["n"].alias("n"), f["ok"].alias("ok")))
-    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    cells = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("n"), ok.alias("ok"))
+    # Most texts match nothing: these end with one test.
+    return F.when(F.col("text").rlike(rule.regex), F.struct(F.lit(order).alias("k"), cells.alias("cells")))
 
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + x["n"]
-        return F.struct(e.alias("at"), F.when(x["ok"], F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e")))).otherwise(acc["out"]).alias("out"))
 
-    # Most texts match nothing: these end with one test.
-    return F.when(F.col("text").rlike(rule.regex), F.aggregate(cells, start, step, lambda acc: acc["out"])).otherwise(empty)
+def _placed(rows: DataFrame, found: list[Column]) -> DataFrame:
+    """(doc_id, th, x): a span (s, k, e) for each match that is long enough."""
+    each = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", F.explode(F.array_compact(F.array(*found))).alias("m"))
+    each = each.select("row", "doc_id", "th", "m.k", F.posexplode("m.cells").alias("i", "x"))
+    upto = Window.partitionBy("row", "doc_id", "th", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = each.withColumn("e", F.sum(F.col("x.gap") + F.col("x.n")).over(upto).cast("int")).where("x.ok")
+    return ends.select("doc_id", "th", F.struct((F.col("e") - F.col("x.n")).alias("s"), "k", "e").alias("x"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, th, spans) of the rows of docs that have any span; spans are sorted by start and kind."""
-    asked = {r.kind: selective(trigram_query(r.pattern)) for r in rules}
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, th, spans) of the rows of docs that have any span; spans are sorted by start and kind. ``index`` is that of these
+    documents, or of more; without one it is built."""
+    asked = {r.kind: trigram_query(r.pattern) for r in rules}
     narrow = [(i, r) for i, r in enumerate(rules) if asked[r.kind] is not True]
     wide = [(i, r) for i, r in enumerate(rules) if asked[r.kind] is True]
     keyed = docs.where("text is not null").select(*N.row_key(), "text")
     parts = []
     if wide:
-        parts.append(keyed.select("doc_id", "th", F.concat(*[spans(r, i) for i, r in wide]).alias("spans")))
+        parts.append(_placed(keyed, [matches(r, i) for i, r in wide]))
     if narrow:
-        terms = sorted(set().union(*[trigrams(asked[r.kind]) for _, r in narrow]))
-        some = C.materialise(candidates(build_index(docs, terms), {r.kind: asked[r.kind] for _, r in narrow}, terms), "candidates")
-        some = C.small_or_plain(some.withColumnsRenamed({"doc_id": "k_id", "th": "k_th"}), 32)
-        rows = keyed.join(some, keyed.doc_id.eqNullSafe(some.k_id) & (keyed.th == some.k_th))
-        none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-        parts.append(rows.select("doc_id", "th", F.concat(*[F.when(F.col(f"hit_{r.kind}"), spans(r, i)).otherwise(none) for i, r in narrow]).alias("spans")))
-    each = reduce(DataFrame.unionByName, [p.where(F.size("spans") > 0) for p in parts])
+        index = build_index(docs) if index is None else index
+        some = C.materialise(candidates(index, {r.kind: asked[r.kind] for _, r in narrow}), "candidates")
+        some = C.small_or_plain(some.withColumnRenamed("th", "k_th"), 32)
+        parts.append(_placed(keyed.join(some, keyed.th == some.k_th), [F.when(F.col(f"hit_{r.kind}"), matches(r, i)) for i, r in narrow]))
     # A row that repeats gives its spans again: sets merge them.
-    return each.select("doc_id", "th", F.explode("spans").alias("x")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("x")).alias("spans"))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("x")).alias("spans"))
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
