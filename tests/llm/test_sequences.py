@@ -187,6 +187,18 @@ def test_suffix_runs_equal_brute_force():
                 count[c[i : i + length]] += w
         owner, start = suffix.repeated_starts(contexts, np.array(weights, float), length)
         assert set(zip(owner.tolist(), start.tolist())) == {(k, i) for k, c in enumerate(contexts) for i in range(len(c) - length + 1) if count[c[i : i + length]] > 1}
+        least = length // 2
+        last = [rng.randint(0, len(c) - least) for c in contexts]
+        few = collections.Counter()
+        for size in (least, length):
+            for c, w, z in zip(contexts, weights, last):
+                for i in range(min(z, len(c) - size) + 1):
+                    few[c[i : i + size]] += w
+        owner, start, long = suffix.repeated_starts(contexts, np.array(weights, float), length, np.array(last), least)
+        got = {(k, i): x for k, i, x in zip(owner.tolist(), start.tolist(), long.tolist())}
+        places = [(k, i) for k, z in enumerate(last) for i in range(z + 1)]
+        assert set(got) == {(k, i) for k, i in places if few[contexts[k][i : i + least]] > 1}
+        assert {p for p, x in got.items() if x} == {(k, i) for k, i in places if len(contexts[k][i : i + length]) == length and few[contexts[k][i : i + length]] > 1}
 
 
 @pytest.mark.parametrize("group_bytes", [suffix.GROUP_BYTES, 1500])
@@ -194,14 +206,18 @@ def test_suffix_dedup_equals_brute_force(docs, rows, group_bytes, monkeypatch):
     monkeypatch.setattr(suffix.repeated, "__defaults__", (suffix.LENGTH, group_bytes))
     texts = [(i, (t or "").encode()) for i, t in rows]
     count = collections.Counter(t[i : i + 400] for _, t in texts for i in range(len(t) - 399))
+    weak = collections.Counter(t[i : i + 256] for _, t in texts for i in range(len(t) - 255))
     want = []
     for i, t in texts:
-        cut = set()
+        cut, told = set(), set()
         for k in range(len(t) - 399):
             if count[t[k : k + 400]] > 1:
                 cut.update(range(k, k + 400))
-        want.append((str(i), len(t), len(cut), sum(k - 1 not in cut for k in cut), hashlib.sha256(bytes(b for k, b in enumerate(t) if k not in cut)).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(docs).collect()]
+        for k in range(len(t) - 255):
+            if weak[t[k : k + 256]] > 1:
+                told.update(range(k, k + 256))
+        want.append((str(i), len(t), len(cut), sum(k - 1 not in cut for k in cut), len(told), hashlib.sha256(bytes(b for k, b in enumerate(t) if k not in cut)).hexdigest()))
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, r.kept_sha256) for r in suffix.digest(docs).collect()]
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 1000
 
 
