@@ -273,6 +273,83 @@ def test_fuzzy_passage_with_edits(spark):
     assert set(out) == {0, 1} and out[0].dup_words >= 75 and out[0].n_links == 1
 
 
+def spans_of(row):
+    return [tuple(map(int, x.split(":"))) for x in row.spans.split(",")]
+
+
+def test_every_shared_run_is_found(spark):
+    """Against brute force: each run of 40 or more equal words of two texts is covered on both sides, and the two are
+    of one class. Frequent phrases and lines of 12 to 30 words give hubs that share a run and no passage."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    lines = [words(rng.randint(12, 30)) for _ in range(4)]
+    texts = []
+    for i in range(60):
+        texts.append(words(20) + lines[i % 4] + words(15) + lines[(i + 1) % 4] + words(10))
+    for n in (40, 41, 45, 50, 60, 80, 120, 200):
+        for copies in (2, 3):
+            passage = words(n // 2) + rng.choice(lines)[: n // 4]
+            passage += words(n - len(passage))
+            texts += [words(rng.randint(0, 30)) + passage + words(rng.randint(0, 30)) for _ in range(copies)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in chaining.find(df).collect()}
+    where = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 39):
+            where[tuple(t[k : k + 40])].append((i, k))
+    some = [x for x in where.values() if len({i for i, _ in x}) > 1]
+    assert len(some) > 500
+    for x in some:
+        assert all(any(a <= k and k + 40 <= b for a, b in spans_of(got[i])) for i, k in x)
+        assert len({got[i].class_id for i, _ in x}) == 1
+    assert set(got) == {i for x in some for i, _ in x}
+
+
+def test_edited_passages_are_found(spark):
+    """Passages whose K-word shingles are 0.8 alike, with hubs that share a line of them only: recall by length."""
+    rng = random.Random(23)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    line, pairs, texts = words(14), [], [words(30) for _ in range(40)]
+    texts = [t[:10] + line + t[10:] for t in texts]
+    for n in (40, 60, 100, 200):
+        for _ in range(10):
+            p = words(n)
+            at = rng.randrange(n - 14)
+            p[at : at + 14] = line
+            q, spared = list(p), range(at, at + 14)
+            shingles = lambda v: {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+            while True:
+                r = list(q)
+                k = rng.choice([x for x in range(5, n - 5) if x not in spared])
+                r[k] = f"e{rng.randrange(10**6)}"
+                if len(shingles(r) & shingles(p)) < 0.8 * len(shingles(p)):
+                    break
+                q = r
+            pairs.append((len(texts), len(texts) + 1, n))
+            texts += [words(25) + p + words(25), words(7) + q + words(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in chaining.find(df).collect()}
+    for a, b, n in pairs:
+        assert got[a].class_id == got[b].class_id == a
+        # An end that is cut off by edits and has no seed of its own may be missing.
+        assert all(sum(z - y for y, z in spans_of(got[i])) >= 40 for i in (a, b))
+    share = [sum(z - y for y, z in spans_of(got[i])) / n for a, b, n in pairs for i in (a, b)]
+    assert np.mean(share) > 0.9
+    assert set(range(40)).isdisjoint(got)
+
+
+def test_rows_that_repeat_and_null_ids_take_part_once(spark):
+    rng = random.Random(29)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    p = words(50)
+    a, b = " ".join(words(9) + p), " ".join(p + words(9))
+    rows = [(4, a), (4, a), (4, a), (7, b), (None, b), (None, a), (9, " ".join(words(60)))]
+    out = chaining.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in out) == sorted([("4", 4, 1)] * 3 + [("7", 4, 1), ("None", 4, 1), ("None", 4, 1)])
+    only = chaining.find(spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.class_id, r.n_links) for r in only] == [(None, None, 1)] * 2
+
+
 def test_two_passages_around_different_bodies(spark):
     """Both bodies are too long for one passage, and short enough for one chain."""
     rng = random.Random(11)
