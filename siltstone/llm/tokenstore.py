@@ -5,7 +5,7 @@ more than documents: the first is 0), the Elias-Fano sequence of doc_ids less th
 concatenated ids (2 bytes each where the vocabulary allows it, else 4). A document's range comes from
 two selects. Documents go to shards by ranges of (doc_id, hash of the text), so that shard order and
 order within shards are ascending doc_id; the start of a shard is the sum of the tokens before it,
-known from the manifest of one row a shard.
+known from the manifest, a table of one row a shard that is never gathered.
 
 Executors write shards to the shared folder under names that no other attempt uses, and report them
 through the manifest's own committed write: a lost or repeated task leaves an unlisted file at worst.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,9 @@ MAGIC = b"STOK"
 END_ID = 0
 #: A task starts another shard file beyond this many ids, which bounds its memory.
 SHARD_IDS = 1 << 23
+#: Parts whose shards one window numbers.
+PART_BLOCK = 4096
+MANIFEST = "shard long, part long, uri string, documents long, tokens long, start long"
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_200_000
 
@@ -202,14 +205,18 @@ def write(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("turn"))
     dealt = keyed.repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn")
     dealt.select("doc_id", "text").mapInArrow(run, kind).write.parquet(f"{out}/attempts")
-    # One row a shard: the number of shards is bounded by the number of tasks, not by documents.
-    start, rows = 0, []
-    for shard, r in enumerate(spark.read.schema(kind).parquet(f"{out}/attempts").orderBy("part", "seq").collect()):
-        rows.append((shard, r.part, r.uri, r.documents, r.tokens, start))
-        start += r.tokens
-    told = spark.createDataFrame(rows, "shard long, part long, uri string, documents long, tokens long, start long")
-    told.coalesce(1).write.parquet(f"{out}/manifest")
-    return out, told
+    # One row a shard. Starts are sums over the shards before, of whole blocks of parts and within the block.
+    rows = spark.read.schema(kind).parquet(f"{out}/attempts").withColumn("block", F.floor(F.col("part") / PART_BLOCK))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    sums = sums.select(F.col("block").alias("b"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
+    within = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.join(sums, F.col("block") == F.col("b")).select(
+        (F.col("n") + F.coalesce(F.count("*").over(within), F.lit(0))).alias("shard"), "part", "uri", "documents", "tokens",
+        (F.col("t") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).alias("start"),
+    )
+    told.write.parquet(f"{out}/manifest")
+    return out, spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
@@ -224,7 +231,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.record_batch([pa.array(shard.doc_ids(), pa.int64()), pa.array(ends[:-1] + start), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    told = spark.read.parquet(f"{out}/manifest").select("uri", "start")
+    told = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").select("uri", "start")
     n = max(1, told.count())
     return told.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

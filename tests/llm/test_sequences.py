@@ -81,6 +81,19 @@ def test_token_shards_round_trip(spark, docs, rows, tokenizer, limit):
     assert (told.count() > 4) == (limit == 500)
 
 
+def test_manifest_starts_are_sums_over_blocks_of_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenstore, "PART_BLOCK", 2)
+    wide = docs.where("doc_id is not null").repartition(12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, told = tokenstore.write(wide, queries.tokenizer_path(), shard_ids=300)
+        rows = told.orderBy("part", "start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.shard for r in rows] == list(range(len(rows))) and len({r.part for r in rows}) > 2
+    assert [r.start for r in rows] == [0, *np.cumsum([r.tokens for r in rows])[:-1].tolist()]
+
+
 @given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "ab", " cd", "é,", "12"]), max_size=12))
 def test_encoder_equals_an_untouched_library(parts):
     from tokenizers import Tokenizer
