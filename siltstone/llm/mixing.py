@@ -14,7 +14,7 @@ all ``FOLDS`` parts of the labels but one and that part's documents are counted
 document at the odds of the weight, and made monotone). So posteriors are honest, and there are at most
 BINS**2 different ones.
 
-**Rates.** With n the document's words and p its posteriors, nonnegative rates r are fitted so that the expected
+**Rates.** With n the document's words (its runs of letters and digits) and p its posteriors, nonnegative rates r are fitted so that the expected
 totals sum(n * p_k * r) meet the targets T_k. Many rates do; those are wanted that stay near one, so that least squares
 has two parts: sum_k gap_k**2 / B_k + slack * sum(n * (r - 1)**2), B_k = sum(n * p_k), gap_k = sum(n * p_k * r) - T_k. At its
 only minimum r = max(0, 1 - sum_k p_k * m_k), a gradient step from one, projected, whose multipliers are
@@ -66,14 +66,17 @@ LOG = logging.getLogger(__name__)
 # --- the classifier ----------------------------------------------------------------------------
 
 
-def features(text: Column) -> Column:
-    """Distinct runs of letters and digits and the two shapes, as strings; shapes begin with a space."""
-    body = F.coalesce(text, F.lit(""))
-    runs = F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    loud = F.length(F.regexp_replace(body, r"[\p{Ll}\p{N}\s]+", ""))
+def featured(rows: DataFrame, *kept: Column) -> DataFrame:
+    """``kept``, the number ``n`` of runs of letters and digits, and, for each feature of ``text``, a row with it as ``w``: distinct runs of letters and digits, the two
+    shapes, which begin with a space, and null for the row itself. What is used twice is a column of its own first."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    runs = F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), "")
+    rows = rows.select(*kept, runs.alias("_runs"), F.regexp_count(body, F.lit(r"[^\p{Ll}\p{N}\s]")).alias("_loud"), F.length(body).alias("_size"))
+    own = [c for c in rows.columns if c[0] != "_"]
+    rows = rows.select(*own, "_loud", "_size", F.size("_runs").cast("long").alias("n"), F.array_distinct("_runs").alias("_ds"))
     eighths = lambda a, b: F.floor(8 * a / F.greatest(b, F.lit(1))).cast("string")
-    fresh = eighths(F.size(F.array_distinct(runs)), F.size(runs))
-    return F.concat(F.array_distinct(runs), F.array(F.concat(F.lit(" loud "), eighths(loud, F.length(body))), F.concat(F.lit(" fresh "), fresh)))
+    loud, fresh = F.concat(F.lit(" loud "), eighths(F.col("_loud"), F.col("_size"))), F.concat(F.lit(" fresh "), eighths(F.size("_ds"), F.col("n")))
+    return rows.select(*own, "n", F.explode(F.concat("_ds", F.array(loud, fresh, F.lit(None).cast("string")))).alias("w"))
 
 
 def sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -91,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     for and the probability of the step's domain by bin; the labelled documents and the accuracy on the parts not learned from."""
     few = sample(labels)
     joined = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("k_id"))
-    seen = joined.select("k_id", "domain", "fold", F.explode(features(F.col("text"))).alias("w"))
+    seen = featured(joined, F.col("k_id"), F.col("domain"), F.col("fold")).where("w is not null")
     seen = C.materialise(seen.select("k_id", "domain", "fold", F.xxhash64("w").alias("wh")).distinct(), "features")
     sizes = {(r.domain, r.fold): r.n for r in seen.select("k_id", "domain", "fold").distinct().groupBy("domain", "fold").agg(F.count("*").alias("n")).collect()}
     has = [F.count_if((F.col("domain") == k) & (F.col("fold") == f)).alias(f"{k}{f}") for k in DOMAINS for f in range(FOLDS)]
@@ -177,8 +180,7 @@ def classify(docs: DataFrame, model: DataFrame, known: dict) -> DataFrame:
     self_row = docs.sparkSession.createDataFrame([(None, *[0.0 for _ in STEPS])], model.schema)
     # A row of the model is 24 bytes; beyond the bound of a broadcast the join shuffles.
     model = C.small_or_plain(C.materialise(model.unionByName(self_row), "model"), 64)
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
-    each = docs.select(*N.row_key(), n.alias("n"), F.explode(F.array_append(features(F.col("text")), F.lit(None))).alias("w"))
+    each = featured(docs, *N.row_key())
     each = each.select("doc_id", "th", "n", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("h"))
     hit = each.join(model, each.h.eqNullSafe(model.wh))
     copies = F.count_if(F.col("h").isNull())

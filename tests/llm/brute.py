@@ -69,10 +69,14 @@ def decontaminate(docs, items):
 DOMAINS = ("high", "low", "toxic")
 
 
+def runs(text):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+
+
 def features(text):
-    runs = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    own = runs(text)
     loud = len(regex.sub(r"[\p{Ll}\p{N} \t\n\x0B\f\r]+", "", text))
-    return {*runs, f" loud {8 * loud // max(len(text), 1)}", f" fresh {8 * len(set(runs)) // max(len(runs), 1)}"}
+    return {*own, f" loud {8 * loud // max(len(text), 1)}", f" fresh {8 * len(set(own)) // max(len(own), 1)}"}
 
 
 def telling(have, lack):

@@ -222,7 +222,6 @@ def test_the_pipeline_drops_a_small_toxic_domain(spark):
 def test_mixing_query_equals_brute_force(spark, sf):
     """Posteriors and rates of the registered query, each re-derived: the posteriors from plain sets, the rates by another
     solver, to which the same targets are given."""
-    import re
 
     got = {r.doc_id: r for r in queries.op4_mixing(spark, sf).collect()}
     texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
@@ -231,7 +230,7 @@ def test_mixing_query_equals_brute_force(spark, sf):
     assert len(got) == len(texts)
     for i, p in post.items():
         assert [got[i].p_high, got[i].p_low, got[i].p_toxic] == pytest.approx(p, abs=2e-6)
-    ids, n = sorted(texts), np.array([len(re.findall(brute.WORD, texts[i] or "")) for i in sorted(texts)])
+    ids, n = sorted(texts), np.array([len(brute.runs(texts[i] or "")) for i in sorted(texts)])
     p = np.array([post[i] for i in ids])
     before = (n[:, None] * p).sum(axis=0)
     weight = np.array([mixing.TARGETS[k] for k in mixing.DOMAINS])

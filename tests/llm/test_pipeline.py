@@ -61,7 +61,7 @@ def test_stages_equal_brute_force(spark, sf, stages):
     def mixture(d):
         few = {r.k_id: r for r in mixing.sample(labels).collect()}
         post = brute.posteriors(d, {i: r.domain for i, r in few.items()}, {i: r.fold for i, r in few.items()})
-        ids, n = sorted(d), [len(re.findall(brute.WORD, d[i])) for i in sorted(d)]
+        ids, n = sorted(d), [len(brute.runs(d[i])) for i in sorted(d)]
         p = np.array([post[i] for i in ids])
         before = (np.array(n)[:, None] * p).sum(axis=0)
         keep = [corpus_pipeline.MIX[k] for k in mixing.DOMAINS]
