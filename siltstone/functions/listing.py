@@ -24,6 +24,7 @@ PATTERNS = {
     "property_type": (r"(?dm)Property Type\s*\n\s*(.+)$",),
     "property_sub_type": (r"(?dm)Property Sub Type\s*\n\s*(.+)$",),
 }
+# The mark of result pages, names that are none, and bounds of sane years and lots.
 LISTING_PAGE = r"(?i)##\s+[\d,]+\s+results"
 NO_DISTRICT = ("call school board", "none", "n/a")
 LATEST_YEAR = 2025
@@ -32,8 +33,8 @@ LARGEST_LOT = 10000
 
 def _first(content: Column, pattern: str) -> Column:
     """The group of the first match; null where nothing (or nothing but '') matches."""
-    found = F.regexp_extract(content, pattern, 1)
-    return F.when(found != "", found)
+    # One element or none: the expression is read once, however often its value is used.
+    return F.get(F.array_remove(F.array(F.regexp_extract(content, pattern, 1)), ""), 0)
 
 
 def _any(content: Column, name: str) -> Column:

@@ -32,6 +32,7 @@ DISTRICT_FIELDS = {
     "superintendent": (("superintendent", "admin", "leader_name"), False),
     "established": (("established", "founded", "established_date"), False),
 }
+# Words of places, and the marks of pages that are no article.
 KEYWORDS = ("city in", "town in", "located in", "county", "population", "municipality")
 DISAMBIGUATION = ("may refer to:", "{{disambiguation")
 REDIRECT = r"(?i)\A#REDIRECT\s*\[\[([^\]]+)\]\]"
@@ -64,15 +65,23 @@ def redirect_target(text: Column) -> Column:
     return F.when(found != "", F.trim(F.substring_index(found, "#", 1)))
 
 
-def disambiguation_target(text: Column, name: Column, state: Column, state_full: Column) -> Column:
-    """The first link that holds the name and after which its line mentions the state; else null."""
+def disambiguation_links(text: Column) -> Column:
+    """The links of a text in order, each with the rest of its line: array of (link, rest)."""
     line = r"\[\[([^\]]+)\]\]([^\n]*)"
-    cells = F.arrays_zip(F.regexp_extract_all(text, F.lit(line), F.lit(1)).alias("link"), F.regexp_extract_all(text, F.lit(line), F.lit(2)).alias("rest"))
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(line), F.lit(1)).alias("link"), F.regexp_extract_all(text, F.lit(line), F.lit(2)).alias("rest"))
+
+
+def pick_link(links: Column, name: Column, state: Column, state_full: Column) -> Column:
+    """The first link that holds the name and after which its line mentions the state; else null."""
     code = F.concat(F.lit(r"(?i),\s*\Q"), state, F.lit(r"\E"))
     link = lambda c: F.substring_index(c["link"], "#", 1)
     fits = lambda c: (F.coalesce(F.lower(c["rest"]).contains(F.lower(state_full)), F.lit(False)) | F.coalesce(F.regexp_like(c["rest"], code), F.lit(False))) & F.lower(link(c)).contains(F.lower(name))
-    first = F.get(F.filter(cells, fits), 0)
-    return F.when(is_disambiguation(text), F.trim(F.substring_index(first["link"], "#", 1)))
+    return F.trim(F.substring_index(F.get(F.filter(links, fits), 0)["link"], "#", 1))
+
+
+def disambiguation_target(text: Column, name: Column, state: Column, state_full: Column) -> Column:
+    """Where a disambiguation page leads for a place (see pick_link); null for other texts."""
+    return F.when(is_disambiguation(text), pick_link(disambiguation_links(text), name, state, state_full))
 
 
 def content_score(text: Column, state: Column, state_full: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import html as H
+from siltstone.sources import shared
 
 
 def valid_seeds(seeds: DataFrame, limit: int | None = None, start: int = 0) -> DataFrame:
@@ -45,20 +46,18 @@ def links(pages: DataFrame, host: str | None = None, path: str | None = None, co
     return rows.distinct()
 
 
-def breadth_first(roots: DataFrame, edges: DataFrame, max_depth: int = 3, checkpoint_every: int = 1) -> DataFrame:
+def breadth_first(roots: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """(url, depth): every node within max_depth of the roots (column url), at its least depth.
 
-    Each level is one join and one anti join against what was visited. Levels are cut by checkpoint() when
-    a checkpoint folder is set, so that plans stay short."""
-    sc = roots.sparkSession.sparkContext
-    cut = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d)
-    visited = frontier = roots.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0))
+    Each level is one join and one anti join against what was visited; it is written to the shared folder, so that no
+    level is computed twice and plans stay short. An empty level ends the search."""
+    visited = frontier = shared.stage(roots.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "level")
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url")).distinct()
-        frontier = reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
-        if depth % checkpoint_every == 0:
-            frontier = cut(frontier)
+        reached = frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url")).where("url is not null").distinct()
+        frontier = shared.stage(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "level")
         visited = visited.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return visited
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import listing
@@ -25,7 +26,7 @@ RESULT_KEYS = ("rank", "score", "property_id", "title", "price", "beds", "baths"
 @dataclass
 class FieldedIndex:
     docs: DataFrame  # doc_id and the columns of the fields
-    postings: DataFrame  # field, term, doc_id, tf, positions
+    postings: DataFrame  # field, term, doc_id, tf, positions, dl
     terms: DataFrame  # field, term, df
     lengths: DataFrame  # field, doc_id, dl
     stats: DataFrame  # field, n, avgdl
@@ -37,6 +38,33 @@ class FieldedIndex:
             setattr(self, name, getattr(self, name).cache())
         return self
 
+    def save(self, path: str) -> None:
+        """Postings are ranged and sorted by field and term, so that a query reads the row groups of its terms only; terms and
+        statistics are made from written tables. A previous index at the path is replaced."""
+        spark = self.docs.sparkSession
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        order = ("field", "term", "doc_id")
+        self.postings.repartitionByRange(*order[:2]).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        _terms(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        _stats(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/stats")
+        about = [(json.dumps({"fields": self.fields, "default": self.default}),)]
+        spark.createDataFrame(about, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> FieldedIndex:
+    about = json.loads(spark.read.text(f"{path}/about").first().value)
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "lengths", "stats")]
+    return FieldedIndex(*tables, about["fields"], about["default"])
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
 
 def _number(text: Column) -> Column:
     """A whole number without $ and commas; null where it is none (cents make it none)."""
@@ -67,8 +95,7 @@ def build(docs: DataFrame, key: str, fields: dict[str, str] | None = None, defau
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in texts]))
     rows = docs.select("doc_id", cells.alias("c")).select("doc_id", "c.field", X.analyze(F.col("c.body")).alias("ws"))
     lengths = rows.select("field", "doc_id", F.size("ws").cast("long").alias("dl")).where("dl > 0")
-    each = rows.select("field", "doc_id", F.posexplode("ws").alias("pos", "term"))
-    postings = each.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return FieldedIndex(docs, postings, terms, lengths, stats, fields, default)
+    # The length rides along, so that scoring needs no join with the documents.
+    each = rows.select("field", "doc_id", F.size("ws").cast("long").alias("dl"), F.posexplode("ws").alias("pos", "term"))
+    postings = each.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+    return FieldedIndex(docs, postings, _terms(postings), lengths, _stats(lengths), fields, default)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.sources import shared
 
 
 @dataclass
@@ -21,10 +22,21 @@ class Index:
         return Index(*[d.cache() for d in (self.postings, self.terms, self.docs, self.stats)])
 
     def save(self, path: str) -> None:
-        """Postings are ranged and sorted by term, so that a query reads the row groups of its terms only."""
+        """Postings are ranged and sorted by term, so that a query reads the row groups of its terms only. The other tables
+        are made from the written ones: a text is analysed twice, for its postings and for its length."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
-        for name in ("terms", "docs", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        _terms(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        _stats(spark.read.parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -37,25 +49,24 @@ def build(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[
     # The length rides along, so that scoring needs no join with the documents.
     each = words.select("doc_id", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term"))
     postings = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     sized = docs.select(F.col(key).alias("doc_id"), F.size(X.tokenize(F.col(text))).cast("long").alias("dl"), *keep)
-    stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, terms, sized, stats)
+    return Index(postings, _terms(postings), sized, _stats(sized))
 
 
 def number_lines(rows: DataFrame, order: list[str]) -> DataFrame:
     """Documents numbered from 0 in the given order, as an index over a file numbers its lines.
 
-    Partition sizes are counted first and the offsets joined back: no single task sees all rows."""
+    Rows are written with their partition and their place in it; partition sizes are counted from that table and
+    the offsets joined back: no single task sees all rows, and none is numbered anew."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    ranged = ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
-    ranged = ranged.cache()
+    ranged = shared.stage(ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), "lines")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     start, rows_ = 0, []
     for p in sorted(sizes):
         rows_.append((p, start))
         start += sizes[p]
     starts = rows.sparkSession.createDataFrame(rows_, "_p int, _s long")
+    # One row a partition.
     return ranged.join(F.broadcast(starts), "_p").withColumn("doc_id", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.index import Index
+from siltstone.sources import shared
 
 K1, B = 1.2, 0.75
 
@@ -67,33 +68,34 @@ def term_metrics(index: Index, hits: DataFrame, query: str) -> DataFrame:
 
 
 class Searcher:
-    """Interactive search: the postings in memory, ranged and sorted by term so that a query reads the
-    batches of its own terms; the statistics, and the document frequencies of a query's few terms, on the
-    driver. A search is then one scan, one aggregation and a top-k."""
+    """Interactive search: the postings in memory, each with its document's length and its term's frequency. They are dealt by
+    document, as shards of an index are, and sorted by term: a search is one job, in which each task reads
+    the batches of the query's terms, scores its own documents and hands on its k best."""
 
     def __init__(self, index: Index):
+        spark = index.postings.sparkSession
         self.index = index
-        self.postings = index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").cache()
-        self.terms = index.terms.repartitionByRange("term").sortWithinPartitions("term").cache()
-        self.n, self.avgdl = index.stats.select("n", "avgdl").first()
-        self.postings.count(), self.terms.count()
+        postings = shared.stage(index.postings, "postings")
+        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.postings = postings.join(terms, "term").repartition(shards, "doc_id").sortWithinPartitions("term", "doc_id").cache()
+        # Documents without a token count in the mean; their number needs no text.
+        n, length = index.docs.agg(F.count("*")).first()[0], self.postings.agg(F.sum("tf")).first()[0] or 0
+        self.n, self.avgdl = n, length / n if n else 0.0
 
     def top_k(self, query: str, method: str = "bm25", k: int = 10) -> DataFrame:
         """As ``top_k``."""
         wanted = Counter(X.query_terms(query))
-        df = {r.term: r.df for r in self.terms.where(F.col("term").isin(list(wanted))).collect()}
-        tf, dl, n = F.col("tf"), F.col("dl"), F.lit(self.n)
-        one = F.lit(0.0)
-        for term, count in df.items():
-            part = tfidf_score(tf, F.lit(count), dl, n) if method == "tfidf" else bm25_score(tf, F.lit(count), dl, n, F.lit(self.avgdl))
-            one = F.when(F.col("term") == term, part * wanted[term]).otherwise(one)
+        tf, df, dl, n = F.col("tf"), F.col("df"), F.col("dl"), F.lit(self.n)
+        one = tfidf_score(tf, df, dl, n) if method == "tfidf" else bm25_score(tf, df, dl, n, F.lit(self.avgdl))
+        for term, count in wanted.items():
+            one = F.when(F.col("term") == term, one * count).otherwise(one) if count > 1 else one
         hits = self.postings.where(F.col("term").isin(list(wanted)))
         ranked = hits.groupBy("doc_id").agg(F.round(F.sum(one), 6).alias("score"))
         return ranked.orderBy(F.desc("score"), "doc_id").limit(k)
 
     def close(self) -> None:
         self.postings.unpersist()
-        self.terms.unpersist()
 
 
 def search(index: Index, query: str, method: str = "bm25", k: int = 10) -> DataFrame:

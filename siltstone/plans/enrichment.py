@@ -11,6 +11,8 @@ from siltstone import schema
 from siltstone.functions import fuzzy, listing
 from siltstone.functions import html as H
 from siltstone.functions import wikitext as W
+from siltstone.operators import fuzzyjoin
+from siltstone.sources import shared
 
 MIN_CONTENT = 0.3
 MAX_HOPS = 5
@@ -37,6 +39,20 @@ def field_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count(F.col(c)).alias(c) for c in rows.columns])
 
 
+def sorted_field_counts(rows: DataFrame) -> DataFrame:
+    """(field, n): the same as a row a field, most first."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in rows.columns])
+    return field_counts(rows).select(F.explode(cells).alias("c")).select("c.*").orderBy(F.desc("n"), "field")
+
+
+def extraction_records(pages: DataFrame) -> DataFrame:
+    """(source_file, markdown, record): what the extraction log holds of each page; record is the listing as JSON, null for
+    pages of search results."""
+    rows = pages.select("file_hash", "source_file", H.html_to_markdown(H.clean_html(F.col("html"))).alias("content"))
+    record = F.when(~listing.is_listing_page(F.col("content")), F.to_json(F.struct(*listing.attributes(F.col("content"))), {"ignoreNullFields": "false"}))
+    return rows.select("source_file", F.col("content").alias("markdown"), record.alias("record"))
+
+
 # --- 2 places ----------------------------------------------------------------------------------
 
 
@@ -97,18 +113,25 @@ def best_pages(found: DataFrame) -> DataFrame:
 def resolve(pages: DataFrame, dump: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Articles of the wanted pages, with redirects and disambiguation pages followed by title.
 
-    dump: (page_id, wiki_title, text[, xml]). A hop is one join of the open requests with the dump; those
-    that end on an article leave. Targets are looked up in the whole dump."""
+    dump: (page_id, wiki_title, text[, xml]). Targets are looked up in the whole dump, of which a narrow table is made
+    first: title, where a redirect leads, and the links of disambiguation pages. A hop joins the open
+    requests with it and is written; texts are read once, for the titles that requests end on."""
     dump = dump.select(F.col("wiki_title").alias("at"), F.col("page_id").alias("dump_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col("xml")] if "xml" in dump.columns else [F.lit(None).cast("string").alias("xml")]))
-    open_ = pages.withColumns({"original_title": F.col("wiki_title"), "at": F.col("wiki_title")}).drop("page_id")
+    redirect, several = W.is_redirect(F.col("text")), W.is_disambiguation(F.col("text"))
+    narrow = dump.select("at", "dump_id", redirect.alias("redirect"), (~redirect & several).alias("several"), F.when(redirect, W.redirect_target(F.col("text"))).alias("target"), F.when(~redirect & several, W.disambiguation_links(F.col("text"))).alias("links"))
+    narrow = shared.stage(narrow, "titles")
+    open_ = pages.withColumns({"original_title": F.col("wiki_title"), "at": F.col("wiki_title")}).drop("page_id", "wiki_title")
     done = None
     for hop in range(max_hops):
-        found = open_.join(dump, "at")
-        redirect, several = W.is_redirect(F.col("text")), W.is_disambiguation(F.col("text"))
-        ended = found.where(~redirect & ~several).withColumn("redirects_followed", F.lit(hop))
+        found = shared.stage(open_.join(narrow, "at"), "hop")
+        ended = found.where("not redirect and not several").drop("redirect", "several", "target", "links").withColumn("redirects_followed", F.lit(hop))
         done = ended if done is None else done.unionByName(ended)
-        target = F.when(redirect, W.redirect_target(F.col("text"))).otherwise(W.disambiguation_target(F.col("text"), F.col("entity_name"), F.col("state"), F.col("state_full")))
-        open_ = found.where(redirect | several).withColumn("at", target).where("at is not null").drop("dump_id", "text", "xml")
+        target = F.when(F.col("redirect"), F.col("target")).otherwise(W.pick_link(F.col("links"), F.col("entity_name"), F.col("state"), F.col("state_full")))
+        open_ = found.where("redirect or several").withColumn("at", target).where("at is not null").drop("dump_id", "redirect", "several", "target", "links")
+        if hop + 1 < max_hops and open_.isEmpty():
+            break
+    texts = dump.select(F.col("at").alias("at2"), F.col("dump_id").alias("dump_id2"), "text", "xml")
+    done = done.join(texts, (F.col("at") == F.col("at2")) & F.col("dump_id").eqNullSafe(F.col("dump_id2")))
     scored = done.withColumn("content_score", W.content_score(F.col("text"), F.col("state"), F.col("state_full"))).where(F.col("content_score") >= MIN_CONTENT)
     kinds = F.when(F.col("entity_type") == "city", F.to_json(W.city_properties(F.col("text")))).otherwise(F.to_json(W.district_properties(F.col("text"))))
     out = scored.withColumns({"wiki_title": F.col("at"), "page_id": F.col("dump_id"), "text_length": F.length("text"), "extracted_properties": kinds})
@@ -120,12 +143,14 @@ def resolve(pages: DataFrame, dump: DataFrame, max_hops: int = MAX_HOPS) -> Data
 
 def best_matches(left: DataFrame, name: str, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``left`` (property_id, state_abbr, <name>) the best page of its state, if any is
-    similar enough. Normal forms are made once for each distinct name of a state and page, and only
-    distinct names are compared; ties go to the first title, then page."""
+    similar enough. Normal forms are made once for each distinct name of a state and page, and only names that share a
+    rare word or hold each other are compared (fuzzyjoin); ties go to the first title, then page."""
     names = left.select("state_abbr", F.col(name).alias("prop_name")).where("prop_name is not null and prop_name <> ''").distinct()
     names = names.withColumn("a", fuzzy.normalize(F.col("prop_name")))
     pages = right.withColumn("b", fuzzy.normalize(F.col("entity_name")))
-    pairs = names.join(pages, names.state_abbr == pages.state).withColumn("match_score", fuzzy.score_normalized(F.col("a"), F.col("b"))).where(F.col("match_score") >= threshold)
+    scored = fuzzyjoin.similar_pairs(names.select(F.col("state_abbr").alias("block"), "a"), pages.select(F.col("state").alias("block"), "b"), threshold)
+    scored = scored.select(F.col("block").alias("s_state"), F.col("a").alias("s_a"), F.col("b").alias("s_b"), F.col("score").alias("match_score"))
+    pairs = names.join(scored, (names.state_abbr == scored.s_state) & (names.a == scored.s_a)).join(pages, (F.col("s_state") == pages.state) & (F.col("s_b") == pages.b))
     order = Window.partitionBy("state_abbr", "prop_name").orderBy(F.desc("match_score"), "wiki_title", "page_id")
     best = pairs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1")
     best = best.select("state_abbr", F.col("prop_name").alias(name), F.col("wiki_title"), F.col("page_id").alias("wiki_page_id"), F.col("state").alias("wiki_state"), F.col("state_full").alias("wiki_state_full"), F.col("text_length").cast("long").alias("wiki_text_length"), "extracted_properties", "match_score")

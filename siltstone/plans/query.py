@@ -245,7 +245,10 @@ def _text_hits(index: FieldedIndex, text_leaves: list[Leaf]) -> DataFrame:
     posts = index.postings.where(F.col("field").isin(fields))
     if len(known) == len(text_leaves):
         posts = posts.where(F.col("term").isin(sorted({w for ws in known for w in ws})))
-    hits = posts.join(F.broadcast(terms), ["field", "term"]).join(index.lengths, ["field", "doc_id"])
+    # Words and the at most MAX_EXPANSIONS terms of a fuzzy clause are few; a wildcard or a range may ask for the whole
+    # vocabulary, and is left to the sizes that Spark measures.
+    few = all(x.kind in ("term", "phrase", "fuzzy") for x in text_leaves)
+    hits = posts.join(F.broadcast(terms) if few else terms, ["field", "term"])
     phrases = [x.n for x in text_leaves if x.kind == "phrase"]
     places = F.map_from_entries(F.collect_list(F.when(F.col("leaf").isin(phrases), F.struct("at", "positions")))) if phrases else F.lit(None)
     per = hits.groupBy("doc_id", "leaf").agg(
