@@ -18,6 +18,7 @@ from siltstone.functions import wikitext as W
 from siltstone.operators import crawl, fielded, index, rank
 from siltstone.plans import enrichment as E
 from siltstone.plans import query as Q
+from siltstone.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,8 +53,11 @@ _BM25 = "ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 _SCORED = f"SELECT doc_id, round(sum({{}}), 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st WHERE term IN ({_IN}) GROUP BY doc_id"
 
 
-def _index(spark: SparkSession, sf: str) -> index.Index:
-    return index.build(table(spark, sf, "documents"))
+def _index(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> index.Index:
+    """Written and opened, as an index is used: texts are analysed once for all that is asked of it."""
+    path = shared.fresh(spark, "index")
+    index.build(table(spark, sf, "documents"), keep=keep).save(path)
+    return index.load(spark, path)
 
 
 @register(f"WITH {_TOK} SELECT doc_id, CAST(dl AS BIGINT) AS n_tokens FROM dl")
@@ -108,7 +112,7 @@ def term_metrics(spark, sf):
 @register(f"""WITH {_TOK}, best AS ({_SCORED.format(_BM25)} ORDER BY score DESC, doc_id LIMIT 5)
 SELECT doc_id, score, lang, source, 'bm25' AS method FROM best JOIN documents USING (doc_id)""")
 def search_rows(spark, sf):
-    i = index.build(table(spark, sf, "documents"), keep=("lang", "source"))
+    i = _index(spark, sf, ("lang", "source"))
     return rank.search(i, TERMS, "bm25", 5).select("doc_id", "score", "lang", "source", "method")
 
 
@@ -248,7 +252,7 @@ def page_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.html_to_markdown(H.clean_html(F.col("html"))).alias("markdown"))
 
 
-@register()
+@register(rf"""SELECT DISTINCT url AS src, regexp_extract(url, '^[a-z]+://[^/?#]+') || href AS dst FROM (SELECT url, unnest(regexp_extract_all({_CLEAN}, {_HREF}, 1)) AS href FROM pages) WHERE starts_with(href, '/')""")
 def absolute_links(spark, sf):
     return crawl.links(table(spark, sf, "pages"))
 
@@ -257,13 +261,14 @@ def absolute_links(spark, sf):
 
 
 @register("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_orderkey // 2 AS b FROM orders UNION SELECT DISTINCT o_orderkey, o_custkey FROM orders),
-r AS (SELECT o_orderkey AS u, 0 AS depth FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT b, depth + 1 FROM r JOIN e ON r.u = e.a WHERE depth < 3),
+r AS (SELECT DISTINCT a AS u, 0 AS depth FROM e WHERE a NOT IN (SELECT b FROM e WHERE b IS NOT NULL) UNION SELECT b, depth + 1 FROM r JOIN e ON r.u = e.a WHERE depth < 3),
 m AS (SELECT u, min(depth) AS depth FROM r GROUP BY u) SELECT depth, count(*) AS n FROM m GROUP BY depth""")
 def crawl_depths(spark, sf):
     o = table(spark, sf, "orders")
     half = o.select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey div 2").alias("dst"))
     edges = half.unionByName(o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))).distinct()
-    roots = o.where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("url"))
+    # The crawl starts where no link leads.
+    roots = edges.join(edges.select(F.col("dst").alias("d")).distinct(), F.col("src") == F.col("d"), "left_anti").select(F.col("src").alias("url")).distinct()
     return crawl.depth_histogram(crawl.breadth_first(roots, edges, 3)).select(F.col("depth"), "n")
 
 
@@ -308,7 +313,8 @@ FROM (SELECT *, ([{_STATE_LIST}])[p_partkey % 25 + 1] AS st FROM part)"""
 
 
 def _listings(spark: SparkSession, sf: str) -> DataFrame:
-    return E.parse_markdown(_listing_text(spark, sf))
+    """Parsed once, as a run does: the stages after read a written table."""
+    return shared.stage(E.parse_markdown(_listing_text(spark, sf)), "listings")
 
 
 @register(_LISTINGS)
@@ -357,7 +363,7 @@ found AS (SELECT "offset", page_id, wiki_title, entity_name, entity_type, state,
 def _found(spark, sf):
     from siltstone.sources import readers
 
-    return E.find_pages(readers.parse_title_lines(_titles(spark, sf)), *E.locations(_listings(spark, sf)))
+    return shared.stage(E.find_pages(readers.parse_title_lines(_titles(spark, sf)), *E.locations(_listings(spark, sf))), "found")
 
 
 @register(f"WITH {_SPECIAL}, {_TITLES}, {_TERMS} SELECT * FROM found")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +84,61 @@ def article_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), F.col("title").alias("wiki_title"), F.coalesce("revision.text", F.lit("")).alias("text"), F.to_xml(page, {"rowTag": "page"}).alias("xml"))
 
 
+def in_memory(spark: SparkSession, rows: list, kind: str | T.StructType, partitions: int | None = None) -> DataFrame:
+    """Rows of the driver, of which there are few, dealt over partitions."""
+    out = spark.createDataFrame(rows, kind)
+    return out.repartition(partitions) if partitions else out
+
+
+def first(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows in an order; all where n is None."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def by_offset(wanted: DataFrame) -> DataFrame:
+    """(offset, wanted): the rows that are read at one place of a dump, collected; a stream holds a bounded number of pages."""
+    return wanted.groupBy("offset").agg(F.collect_list(F.struct(*wanted.columns)).alias("wanted"))
+
+
+def pages_at(wanted: DataFrame, dump: str) -> DataFrame:
+    """(page_id, wiki_title, text, xml) of the wanted pages (offset, page_id, wiki_title) of a dump of bz2 streams.
+
+    Each stream that holds a wanted page is read once, from its offset to its end: nothing before it is
+    decompressed. A page that its stream does not hold is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(dump)
+        with fs.open_input_file(path) as source:
+            for batch in batches:
+                rows = []
+                for offset, titles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    source.seek(offset)
+                    rows += [r for r in _stream_pages(source) if r[1] in titles]
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=["page_id", "wiki_title", "text", "xml"])
+
+    asked = by_offset(wanted.select("offset", "page_id", "wiki_title")).select("offset", F.col("wanted.wiki_title").alias("titles"))
+    return asked.mapInArrow(run, "page_id string, wiki_title string, text string, xml string")
+
+
+def _stream_pages(source) -> list[tuple[str, str, str, str]]:
+    """The pages of the bz2 stream that begins at the source's place."""
+    unpack, body = bz2.BZ2Decompressor(), bytearray()
+    while not unpack.eof and (block := source.read(1 << 18)):
+        body += unpack.decompress(block)
+    out = []
+    for page in ElementTree.fromstring(b"<pages>" + bytes(body) + b"</pages>").iter("page"):
+        at = lambda name: page.findtext(name) or ""  # noqa: B023, E731
+        out.append((at("id"), at("title"), at("revision/text"), ElementTree.tostring(page, encoding="unicode")))
+    return out
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
 def tagged_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metadata, terms, documents) of a tagged JSON-lines index."""
     rows = spark.read.schema(schema.TAGGED_INDEX).json(path)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from siltstone import catalog
+from siltstone import catalog, roundtrips  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
