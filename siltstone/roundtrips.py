@@ -482,19 +482,19 @@ def _word(column: str, word: str) -> str:
 
 _matches("listing_by_id", "property_id = 'c4ca4238a0b923820dcc509a6f75849b'", "property_id:c4ca4238a0b923820dcc509a6f75849b")
 _matches("listing_by_title", _word("title", "green") + " OR " + _word("title", "blue"), "title:green title:blue")
-_matches("listing_by_description", _word("description", "copper") + " AND NOT " + _word("description", "small"), "copper NOT small")
+_matches("listing_by_description", _word("description", "promo") + " AND NOT " + _word("description", "small"), "promo NOT small")
 _matches("listing_by_price", "price BETWEEN 2000 AND 9000", "price:[2000 TO 9000]")
 _matches("listing_by_exact_numbers", "beds = 3 AND baths = 4", "beds:3 AND baths:4")
 _matches("listing_by_area", "sqft >= 1000 AND sqft < 1500", "sqft:[1000 TO 1500}")
 _matches("listing_by_city", "city = 'Brand#11' OR city = 'Brand#23'", 'city_exact:"Brand#11" OR city_exact:"Brand#23"')
-_matches("listing_by_city_words", _word("city", "brand") + " AND " + _word("city", "32"), "city:brand AND city:32")
+_matches("listing_by_city_words", _word("city", "brand") + " AND " + _word("city", "12"), "city:brand AND city:12")
 _matches("listing_by_district", "school_district = 'Brand#12 ISD'", 'school_district_exact:"Brand#12 ISD"')
 _matches("listing_by_district_words", _word("school_district", "isd") + " AND NOT " + _word("school_district", "12"), "school_district:isd NOT school_district:12")
 _matches("listing_by_place", "state = 'CA' AND property_type = 'House'", "state:CA AND property_type:House")
 _matches("listing_by_county", "county LIKE 'ECONOMY%'", "county:ECONOMY*")
 _matches("listing_by_city_facts", "population >= 1000 AND area_km2 = 10.56 AND elevation_ft = 12", "population:[1000 TO *] AND area_km2:10.56 AND elevation_ft:[* TO 12]")
 _matches("listing_by_district_facts", "students BETWEEN 100 AND 300 AND schools = 4", "students:[100 TO 300] AND schools:4")
-_matches("listing_combined", f"({_word('description', 'steel')} OR {_word('description', 'brass')}) AND price <= 8000 AND city <> 'Brand#11'", '(steel OR brass) AND price:[* TO 8000] AND NOT city_exact:"Brand#11"')
+_matches("listing_combined", f"({_word('description', 'promo')} OR {_word('description', 'large')}) AND price <= 8000 AND city <> 'Brand#11'", '(promo OR large) AND price:[* TO 8000] AND NOT city_exact:"Brand#11"')
 
 
 # --- more of the query language ----------------------------------------------------------------
