@@ -8,17 +8,21 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+import siltstone
 from siltstone import schema
 from siltstone.functions import text as X
 from siltstone.operators import crawl, fielded, index, rank
 from siltstone.plans import enrichment as E
 from siltstone.plans import query as Q
-from siltstone.sources import readers, writers
+from siltstone.sources import readers, shared, writers
 
 
 def session(partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName("siltstone").config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
-    return (builder.config("spark.sql.shuffle.partitions", partitions) if partitions else builder).getOrCreate()
+    spark = (builder.config("spark.sql.shuffle.partitions", partitions) if partitions else builder).getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        siltstone.ship(spark)
+    return spark
 
 
 def extraction(spark: SparkSession, pages: str, out: str) -> None:
@@ -52,6 +56,17 @@ def join(spark: SparkSession, parsed: str, matches: str, out: str) -> None:
     writers.named_jsonl(E.join_matches(readers.properties(spark, parsed), readers.match_metadata(spark, matches)), out)
 
 
+def fielded_index(spark: SparkSession, joined: str, wiki_only: bool = False, path: str | None = None) -> fielded.FieldedIndex:
+    """The fielded index of joined listings: opened if ``path`` holds one, else built, and kept there if a path is given."""
+    if path and shared.exists(spark, f"{path}/about/_SUCCESS"):
+        return fielded.load(spark, path)
+    built = fielded.build(fielded.documents(readers.joined_properties(spark, joined), wiki_only), "property_id")
+    if not path:
+        return built
+    built.save(path)
+    return fielded.load(spark, path)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siltstone", description=__doc__)
     parser.add_argument("--partitions", type=int)
@@ -75,6 +90,7 @@ def main(argv: list[str] | None = None) -> None:
     p = command("query", "joined", "text")
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--wiki-only", action="store_true")
+    p.add_argument("--index", help="a folder that keeps the index: built there if it is not, else opened")
     command("tokens", "jsonl").add_argument("--encoding")
     a = parser.parse_args(argv)
     spark = session(a.partitions)
@@ -97,8 +113,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "search":
         rank.search(index.load(spark, a.index), a.text, a.method, a.top).show(truncate=60, vertical=True)
     elif a.command == "query":
-        rows = readers.joined_properties(spark, a.joined)
-        Q.search(fielded.build(fielded.documents(rows, a.wiki_only), "property_id"), a.text, a.top).orderBy("rank").select(*[c for c in fielded.RESULT_KEYS if c not in ("school_district",)]).show(truncate=60, vertical=True)
+        Q.search(fielded_index(spark, a.joined, a.wiki_only, a.index), a.text, a.top).orderBy("rank").select(*[c for c in fielded.RESULT_KEYS if c not in ("school_district",)]).show(truncate=60, vertical=True)
     elif a.command == "tokens":
         X.token_report(readers.good_lines(readers.jsonl_lenient(spark, a.jsonl)), a.encoding).show(50, truncate=False)
 

@@ -37,3 +37,8 @@ def stage(rows: DataFrame, name: str) -> DataFrame:
 def small_or_plain(rows: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if the (already written) side is measured small; else none."""
     return F.broadcast(rows) if rows.count() * row_bytes <= limit else rows
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
