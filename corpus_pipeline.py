@@ -1,4 +1,18 @@
-"""The training-corpus pipeline: each stage works on all that the one before kept."""
+"""The training-corpus pipeline: each stage works on all that the one before kept.
+
+A stage but the last returns the rows that it keeps as they are, with all columns of its input, extra ones and clashing names
+too. What becomes of odd rows:
+
+* quality rules: null and empty texts have no words and go, like all of fewer than 20 words; a null doc_id is no reason to go;
+  rows that repeat are judged alike; very long texts are measured whole.
+* SimHash near-dedup: of the rows of a group one stays, also of rows that repeat in all columns; that with the smallest
+  doc_id, null last.
+* benchmark decontamination: null and empty texts hold no item and stay; an empty benchmark removes nothing.
+* mixing: a row stays if its fixed number is below its rate, so rows that repeat stay or go together; without labels all stay.
+* token-ID output: null and empty texts are the end token; null doc_ids come first.
+
+An empty table of documents gives an empty result at each stage.
+"""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ by a shuffle. Documents are not shuffled: only candidates' keys and counts are.
 
 Edge cases: null or empty texts have no shingles and match nothing; a text of 1 to 4 words is one
 shingle; repeated item_ids are one item, the union of their shingles; repeated rows of documents give
-one row for each doc_id and item; empty tables give no rows; extra columns are ignored by ``search``
+one row for each doc_id and item, of which a null doc_id is one; a text of any length is searched whole; empty tables give no rows; extra columns are ignored by ``search``
 and kept by ``decontaminate``.
 """
 

@@ -7,7 +7,8 @@ all later ones are covered, and covered positions are merged and removed.
 
 Edge cases: windows without any character but white space are ignored; a text of fewer than three lines
 has no window and stays; null text has no line and stays null; rows that repeat a doc_id are ordered by
-the hash of their text and, if equal, are one document; null doc_ids come last; an empty table gives no
+the hash of their text and, if equal, are one document; null doc_ids come last; a text of any length is split
+whole, and a row of its windows needs two hashes and a position; an empty table gives no
 rows; extra columns are ignored by ``windows`` and kept by ``deduplicate``.
 """
 

@@ -26,7 +26,7 @@ more than the tolerance are out of reach: the report says so and a warning is lo
 
 Edge cases: null or empty text has n = 0 and the posteriors of its shape; labels that repeat a doc_id are merged (toxic
 if any says so, high if all do); rows that repeat a labelled doc_id are learned as one document; without labels
-posteriors are equal; a domain without labelled documents has posterior 0; rows that repeat are rows of their own;
+posteriors are equal and all rates one; a domain without labelled documents has posterior 0; rows that repeat are rows of their own;
 an empty table gives none; other columns of both tables are ignored, whatever their names.
 """
 
@@ -277,6 +277,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model, known = train(docs, labels)
     rows = C.materialise(classify(docs, model, known), "posteriors")
     rate, report = fit(rows, targets, budget, tolerance, keep=keep, slack=slack)
+    if not known["documents"]:
+        # Nothing is known of any document: no rate is better than one.
+        rate, report = F.lit(1.0), report | {"fitted": report["before"], "met": False}
     return rows.withColumn("rate", rate), report | {"accuracy": known["accuracy"], "labelled": known["documents"]}
 
 
