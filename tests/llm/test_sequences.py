@@ -351,6 +351,30 @@ def test_edited_passages_are_found(spark):
     assert set(range(40)).isdisjoint(got)
 
 
+def test_pairs_among_many_unlike_texts_with_the_same_line(spark):
+    """Passages all of whose runs of 20 words are those of a line of 30 that 300 unlike texts share, so that hubs are texts
+    unlike them; and texts that other passages cover already, whose two classes only such a passage joins."""
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = words(30)
+    texts = [words(30) + line + words(30) for _ in range(300)]
+    pairs, bridges = [], []
+    for _ in range(8):
+        own = words(14)
+        pairs.append(len(texts))
+        texts += [words(25) + line + words(1) + own + words(25) for _ in range(2)]
+    for _ in range(8):
+        u, v, own = words(15), words(15), words(10)
+        bridges.append(len(texts))
+        texts += [words(30) + u + line + words(30), words(30) + u + line + words(1) + own + words(30)]
+        texts += [words(30) + v + line + words(1) + own + words(30), words(30) + v + line + words(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in chaining.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].class_id for i in got} == {i + j: i for x, n in ((pairs, 2), (bridges, 4)) for i in x for j in range(n)}
+    assert all(spans_of(got[i + j]) == [(25, 70)] and got[i + j].n_links == 1 for i in pairs for j in range(2))
+    assert all(spans_of(got[i + j]) == [(30, 86)] and got[i + j].n_links == 2 for i in bridges for j in (1, 2))
+
+
 def test_rows_that_repeat_and_null_ids_take_part_once(spark):
     rng = random.Random(29)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
