@@ -32,7 +32,6 @@ row by row; an empty table gives no rows; extra columns are ignored. A text of m
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -82,18 +81,6 @@ def unordered(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.int64).view(np.uint64) ^ TOP
 
 
-def settle() -> None:
-    """Give back what earlier steps have left in this worker process, and return large arrays at once from
-    now on: workers outlive their tasks, and free lists would hold the largest needs of all steps."""
-    pa.default_memory_pool().release_unused()
-    try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 # --- files -------------------------------------------------------------------------------------
 
 
@@ -257,7 +244,7 @@ def _sorted_shards(rows: DataFrame, order: list[str], build: Callable, folder: s
     schema = pa.schema([("tell", pa.list_(pa.int64())), ("uri", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         held = [b for b in batches if b.num_rows]
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -275,7 +262,7 @@ def _sorted_shards(rows: DataFrame, order: list[str], build: Callable, folder: s
 
 def learn_words(docs: DataFrame, folder: str, min_count: int = MIN_COUNT) -> Words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         for batch in batches:
             for part in C.pieces(batch, limit=PIECE_BYTES):
                 codes = np.sort(coded(part, part.schema.get_field_index("text"))[0])
@@ -304,7 +291,7 @@ def number(docs: DataFrame, words: Words) -> DataFrame:
     the quantised probability of each word alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         for batch in batches:
             for part in C.pieces(batch, limit=PIECE_BYTES):
                 codes, at = coded(part, 2)
@@ -388,7 +375,7 @@ def count_keys(ids: DataFrame, keys: Callable, buckets: int, min_count: int) ->
     occurrences of a piece; equal keys have equal bytes. k is in the order of ``ordered``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         for batch in batches:
             for _, x, _, joined in id_pieces(batch, 0):
                 key, extra = keys(x, joined)
@@ -416,7 +403,7 @@ def count_keys(ids: DataFrame, keys: Callable, buckets: int, min_count: int) ->
         return pa.record_batch([pa.array(ordered(key[head][keep])), pa.array(count[keep]), pa.array(extra[order[head]][keep].astype(np.int16))], names=["k", "c", "q"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         held: list[bytes] = []
         bucket = -1
         for batch in batches:
@@ -464,7 +451,7 @@ def _level(ids: DataFrame, keys: Callable, bits: int, buckets: int, min_count: i
     rows = [(i, uri, n, tell[1], tell[2], *entries[tell[1]], *entries[tell[2]]) for i, (tell, uri, n) in enumerate(found)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         for batch in batches:
             for i, uri, n, first, last, na, ca, nz, cz in zip(*[c.to_pylist() for c in batch.columns]):
                 pointer, values, sums = (e.decode() for e in sequences(uri, 3))
@@ -575,7 +562,7 @@ def score(model: Model, ids: DataFrame) -> DataFrame:
     total = model.words.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
+        C.settle()
         for batch in batches:
             for part, x, first, joined in id_pieces(batch, 2):
                 logs = model.log_probs(x, binary(part.column(3))[0], joined)

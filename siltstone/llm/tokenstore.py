@@ -20,7 +20,7 @@ import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +35,32 @@ from . import elias
 MAGIC = b"STOK"
 END_ID = 0
 #: A task starts another shard file beyond this many ids, which bounds its memory.
-SHARD_IDS = 1 << 23
+SHARD_IDS = 1 << 22
 #: Parts whose shards one window numbers.
 PART_BLOCK = 4096
 MANIFEST = "shard long, part long, uri string, documents long, tokens long, start long"
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_200_000
+#: Pieces of a generation; a worker remembers the ids of two.
+CACHE_WORDS = 300_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces; a piece that is asked for and not known is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes | None:
+        return self.learn(piece)
+
+
 class Encoder:
     """Ids of whole texts for a byte-level BPE file, equal to the library's encode().
 
     The pre-tokeniser always cuts before a single space that stands between two characters other than
     white space, and around a single line feed there. So such pieces are encoded one by one, each once
-    for as long as it is remembered. Any other white space sends the text through encode() as it is, and
+    for as long as it is remembered: until CACHE_WORDS others twice over were learned since its last use. Any other white space sends the text through encode() as it is, and
     so does the content of an added token, which the library finds before it cuts."""
 
     def __init__(self, path: str):
@@ -63,11 +73,13 @@ class Encoder:
         pre = rule.get("pre_tokenizer") or {}
         self.split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not rule.get("normalizer") and rule["model"]["type"] == "BPE"
         #: None stands for a piece that begins or ends with white space.
-        self.known: dict[str, bytes | None] = {}
+        self.known = Pieces(self._learn)
+        self.older: dict[str, bytes | None] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in kept]
         self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.space = self.letters[32]
+        self.marks = {c: self._word("", c) for c in ",.\n"} if self.split else {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -77,43 +89,38 @@ class Encoder:
         mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(self.space + mapped if lead else mapped)]).tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of pieces; a piece that does not begin with a line feed stands for itself after a space."""
-        known, slow = self.known, []
-        for piece in missing:
-            lead, body = ("", piece[1:]) if piece[:1] == "\n" else (" ", piece)
-            if not body or body[0].isspace() or body[-1].isspace():
-                known[piece] = None
-                continue
-            tail = ""
-            if body[-1:] in ",.":
-                body, tail = body[:-1], body[-1]
-            if not body.isalpha():
-                slow.append(piece)
-                continue
-            ids = known.get(body) if lead else None
-            if ids is None:
-                ids = self._word(lead, body)
-                if lead:
-                    known[body] = ids
-            known[piece] = (b"" if lead else self._word("", "\n")) + ids + (self._word("", tail) if tail else b"")
-        for piece, found in zip(slow, self.tokenizer.encode_batch([p if p[:1] == "\n" else " " + p for p in slow], add_special_tokens=False)):
-            known[piece] = self._pack(found.ids)
+    def _learn(self, piece: str) -> bytes | None:
+        """Ids of a piece; one that does not begin with a line feed stands for itself after a space."""
+        ids = self.older.get(piece, b"")
+        if ids == b"":
+            ids = self._ids(piece)
+        self.known[piece] = ids
+        return ids
+
+    def _ids(self, piece: str) -> bytes | None:
+        lead, body = ("", piece[1:]) if piece[:1] == "\n" else (" ", piece)
+        if not body or body[0].isspace() or body[-1].isspace():
+            return None
+        head, tail = b"" if lead else self.marks["\n"], b""
+        if body[-1] in ",.":
+            body, tail = body[:-1], self.marks[body[-1]]
+        if not body.isalpha():
+            return self._pack(self.tokenizer.encode(" " + piece if lead else piece, add_special_tokens=False).ids)
+        # A word before a mark is remembered by itself as well.
+        ids = self.known[body] if lead and tail else self._word(lead, body)
+        return head + ids + tail
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         known, tail = self.known, None
         if self.split and first and not first[-1].isspace() and not any(x in text for x in self.added):
-            for _ in range(2):
-                try:
-                    tail = b"".join(map(known.__getitem__, rest))
-                    break
-                except KeyError:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    self._learn({p for p in rest if p not in known})
-                except TypeError:
-                    break
+            if len(known) > CACHE_WORDS:
+                self.older, known = known, Pieces(self._learn)
+                self.known = known
+            try:
+                tail = b"".join(map(known.__getitem__, rest))
+            except TypeError:
+                pass
         if tail is None:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return self._pack(self.tokenizer.encode(first, add_special_tokens=False).ids) + tail
@@ -175,6 +182,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id:
     out = out or C.fresh_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.settle()
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end, width = array(enc.code, [end_id]).tobytes(), array(enc.code).itemsize
         held_ids: list = []

@@ -67,6 +67,20 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(e.encode(text), np.uint16).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_a_bounded_number_of_pieces(monkeypatch):
+    """Two generations, whatever a text holds; frequent words outlive them, and ids stay those of the library."""
+    from siltstone.llm import queries
+
+    monkeypatch.setattr(tokenstore, "CACHE_WORDS", 50)
+    enc = tokenstore.Encoder(queries.tokenizer_path())
+    for i in range(40):
+        text = "\n".join(f"the wörd{chr(97 + i % 26)}{chr(97 + j)}, x{i}{j}. end the" for j in range(10)) + "  \n the"[: 4 * (i % 3)]
+        assert enc.encode(text) == enc._pack(enc.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert len(enc.known) + len(enc.older) <= 250
+    held = enc.known | enc.older
+    assert "the" in held
+
+
 @pytest.mark.parametrize("limit", [tokenstore.SHARD_IDS, 500])
 def test_token_shards_round_trip(spark, docs, rows, tokenizer, limit):
     out, told = tokenstore.write(docs, queries.tokenizer_path(), shard_ids=limit)
