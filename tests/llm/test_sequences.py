@@ -389,6 +389,34 @@ def test_pairs_among_many_unlike_texts_with_the_same_line(spark):
     assert all(spans_of(got[i + j]) == [(30, 86)] and got[i + j].n_links == 2 for i in bridges for j in (1, 2))
 
 
+def test_stretches_without_room_for_a_passage_are_not_chained(monkeypatch):
+    """Words that texts repeat over and over match everywhere; where no range of 40 words can be a passage, no chain is made.
+    Against the alignment without that bound, on texts that repeat few words, all passages are the same."""
+    code = lambda text: np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+    few, many = code("a" * 40 + "b" * 37 + "c" * 40), code("d" * 40 + "b" * 60 + "e" * 40)
+    twice = code("f" * 20 + "b" * 20 + "g" * 20 + "h" * 20 + "i" * 20 + "b" * 20)
+    with monkeypatch.context() as patch:
+        patch.setattr(chaining, "members", lambda *args, **kind: pytest.fail("a chain is made"))
+        for a, b in ((few, many), (many, few), (twice, many), (few, twice)):
+            assert chaining.dense(a, b, range(-200, 200)) == []
+    rng = random.Random(41)
+    hits = 0
+    for small in (chaining.SMALL, 0):
+        monkeypatch.setattr(chaining, "SMALL", small)
+        for _ in range(150):
+            runs = [(rng.choice("abcde"), rng.randint(1, 30)) for _ in range(rng.randint(3, 9))]
+            a = "".join(w * n for w, n in runs)
+            b = "".join(w * max(1, n + rng.choice((-6, -1, 0, 0, 0, 3))) + rng.choice(("", "", "x", "yyyyyyyyy")) for w, n in runs)
+            a, b = code(a + "k" * rng.randint(0, 50)), code("l" * rng.randint(0, 50) + b)
+            slant = range(-60, rng.randint(-20, 60))
+            got = chaining.dense(a, b, slant)
+            with monkeypatch.context() as patch:
+                patch.setattr(chaining, "roomy", lambda *_: True)
+                assert chaining.dense(a, b, slant) == got
+            hits += len(got) > 0
+    assert hits > 50
+
+
 def test_rows_that_repeat_and_null_ids_take_part_once(spark):
     rng = random.Random(29)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
