@@ -365,6 +365,30 @@ def test_edited_passages_are_found(spark):
     assert set(range(40)).isdisjoint(got)
 
 
+def test_open_pairs_deal_a_row_an_occurrence_and_join_hot_runs_alike(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    line, passage = [f"l{i}" for i in range(chaining.RUN)], word(70)
+    texts, rest = [], []
+    for t in range(24):
+        head = word(rng.randrange(30, 60)) + (passage if t % 3 == 0 else word(70))
+        if t % 4 == 0:
+            head = ["again", "and"] * 20 + head
+        texts.append((t - 12, " ".join(head + line + word(40))))
+        rest.append((7 + t // 20, t - 12, len(head), t // 9 - 12, t % 5 == 0))
+    docs = spark.createDataFrame(texts, "t long, text string")
+    rest = spark.createDataFrame(rest, "key long, t long, pos int, root long, done boolean")
+    # Before, each occurrence was shuffled as some 270 rows of a shingle.
+    assert chaining._near_lists(docs, rest).count() == rest.count()
+    want = sorted(map(tuple, chaining._pairs(chaining._rare(chaining._near_rows(chaining._near_lists(docs, rest)))).collect()))
+    assert len(want) > 20
+    for group in (2048, 10, 0):
+        monkeypatch.setattr(chaining, "GROUP", group)
+        for joined in (1 << 21, 5):
+            monkeypatch.setattr(chaining, "JOINED", joined)
+            assert sorted(map(tuple, chaining._open_pairs(docs, rest).collect())) == want
+
+
 def test_pairs_among_many_unlike_texts_with_the_same_line(spark):
     """Passages all of whose runs of 20 words are those of a line of 30 that 300 unlike texts share, so that hubs are texts
     unlike them; and texts that other passages cover already, whose two classes only such a passage joins."""
