@@ -82,13 +82,19 @@ class EliasFano:
             kk = k[a : a + (1 << 14)]
             block = np.searchsorted(directory, kk, "right") - 1
             rest = kk - directory[block]
-            octets = self.high.reshape(-1, 64)[block]
-            octets = ~octets if zeros else octets
+            # The word of the block first, then its octet: eight counts each.
+            words = self.high.view("<u8").reshape(-1, 8)[block]
+            words = ~words if zeros else words
+            ones = np.bitwise_count(words).cumsum(axis=1, dtype=np.int64)
+            word = (ones <= rest[:, None]).sum(axis=1)
+            row = np.arange(len(kk))
+            own = words[row, word]
+            rest = rest - ones[row, word] + np.bitwise_count(own)
+            octets = own.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
             ones = _POP8[octets].cumsum(axis=1, dtype=np.int64)
             octet = (ones <= rest[:, None]).sum(axis=1)
-            row = np.arange(len(kk))
             rest = rest - ones[row, octet] + _POP8[octets[row, octet]]
-            out[a : a + len(kk)] = block * 512 + octet * 8 + _SEL8[octets[row, octet], rest]
+            out[a : a + len(kk)] = block * 512 + word * 64 + octet * 8 + _SEL8[octets[row, octet], rest]
         return out
 
     def select(self, i) -> np.ndarray:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -365,6 +366,23 @@ def test_edited_passages_are_found(spark):
     assert set(range(40)).isdisjoint(got)
 
 
+def test_select_reads_words_and_not_all_octets_of_a_block():
+    rng = np.random.default_rng(3)
+    for n, top in ((40000, 1 << 40), (40000, 60000), (3, 9)):
+        values = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        own = elias.EliasFano(np.frombuffer(elias.encode(values), np.uint8))
+        at = np.sort(rng.integers(0, n, 1 << 14))
+        tracemalloc.start()
+        got = own.select(at)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got == values[at]).all()
+        # Before, 64 counts of 8 bytes for each value.
+        assert peak < (1 << 14) * 64 * 8
+        ask = np.sort(rng.integers(0, top + 5, 5000).astype(np.uint64))
+        assert (own._search(ask) == np.searchsorted(values, ask)).all()
+
+
 def test_open_pairs_deal_a_row_an_occurrence_and_join_hot_runs_alike(spark, monkeypatch):
     rng = random.Random(31)
     word = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
