@@ -407,6 +407,27 @@ def test_open_pairs_deal_a_row_an_occurrence_and_join_hot_runs_alike(spark, monk
             assert sorted(map(tuple, chaining._open_pairs(docs, rest).collect())) == want
 
 
+def test_join_of_a_run_holds_each_pair_once(monkeypatch):
+    """512 unlike texts with much in common around a run: each of their 130,816 pairs meets at some 130 tokens."""
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 1 << 63, 270).astype(np.uint64)
+    near = [np.sort(np.where(rng.random(270) < 0.3, rng.integers(0, 1 << 63, 270).astype(np.uint64), own)).tobytes() for _ in range(512)]
+    t = np.arange(512)
+    tracemalloc.start()
+    i, j = chaining.near_pairs(t, t, np.zeros(512, bool), near)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) == 512 * 511 // 2 and (i > j).all()
+    assert peak < 48 << 20
+    few = near[:40] + [np.sort(rng.integers(0, 1 << 63, 270).astype(np.uint64)).tobytes() for _ in range(10)]
+    t, root, done = rng.integers(-30, 30, 50), rng.integers(0, 3, 50), rng.random(50) < 0.5
+    found = []
+    for often in (0, 32, 1 << 30):
+        monkeypatch.setattr(chaining, "OFTEN", often)
+        found.append(sorted(zip(*(x.tolist() for x in chaining.near_pairs(t, root, done, few)))))
+    assert found[0] == found[1] == found[2] and 100 < len(found[0]) < 50 * 49 // 2
+
+
 def test_pairs_among_many_unlike_texts_with_the_same_line(spark):
     """Passages all of whose runs of 20 words are those of a line of 30 that 300 unlike texts share, so that hubs are texts
     unlike them; and texts that other passages cover already, whose two classes only such a passage joins."""
