@@ -237,9 +237,8 @@ def page_links(spark, sf):
 
 @register(r"SELECT page_id, md5(url) AS url_hash, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain, CAST(length(html) AS BIGINT) AS content_length FROM pages")
 def crawl_metadata(spark, sf):
-    rows = crawl.metadata(table(spark, sf, "pages").select("url", "html"), F.lit("-"))
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    return pages.join(rows, "url").select("page_id", "url_hash", "domain", F.col("content_length").cast("long").alias("content_length"))
+    rows = crawl.metadata(table(spark, sf, "pages"), F.lit("-"), ("page_id",))
+    return rows.select("page_id", "url_hash", "domain", F.col("content_length").cast("long").alias("content_length"))
 
 
 @register(r"SELECT page_id, regexp_matches(html, '(?i)##\s+[\d,]+\s+results') AS listing FROM pages")

@@ -65,11 +65,11 @@ def depth_histogram(visited: DataFrame) -> DataFrame:
     return visited.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth")
 
 
-def metadata(pages: DataFrame, stamp: Column | None = None) -> DataFrame:
-    """Crawl metadata of stored pages; content_length counts characters."""
+def metadata(pages: DataFrame, stamp: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Crawl metadata of stored pages, a row each, after the columns ``keep``; content_length counts characters."""
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if stamp is None else stamp
     name = F.concat(F.md5("url"), F.lit(".html"))
     return pages.select(
-        F.md5("url").alias("url_hash"), "url", H.authority(F.col("url")).alias("domain"), stamp.alias("download_timestamp"), F.lit(200).alias("status_code"),
+        *keep, F.md5("url").alias("url_hash"), "url", H.authority(F.col("url")).alias("domain"), stamp.alias("download_timestamp"), F.lit(200).alias("status_code"),
         F.length("html").alias("content_length"), F.lit("utf-8").alias("encoding"), name.alias("html_file_path"), F.lit("text/html").alias("content_type"), F.lit(None).cast("double").alias("response_time_ms"),
     )

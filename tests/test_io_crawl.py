@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from siltstone import cli, schema
+from siltstone import catalog, cli, schema
 from siltstone.operators import crawl, index, rank
 from siltstone.sources import readers, writers
 from siltstone.streaming import arrivals
@@ -50,6 +50,14 @@ def test_csv_append(spark, tmp_path):
     assert [(r.domain, r.content_length, r.response_time_ms) for r in out] == [("h:1", 8, None)] * 2
 
 
+PAGES = [(1, "http://h/x", "<p>a</p>"), (2, "http://h/x", "<p>b</p>"), (3, "http://h/x", "<p>b</p>"), (4, "http://h/y", "<p>c</p>")]
+
+
+def test_metadata_of_pages_with_one_address(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r.page_id for r in catalog.QUERIES["crawl_metadata"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
 def test_title_index_and_dump(spark, tmp_path):
     (tmp_path / "t.bz2").write_bytes(bz2.compress(b"10:1:A:b\nbad\nx:2:C\n") + bz2.compress(b"20:3:D\n"))
     out = {tuple(r) for r in readers.title_index(spark, str(tmp_path / "t.bz2"), 2).collect()}
