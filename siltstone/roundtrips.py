@@ -60,7 +60,7 @@ def html_files_round_trip(spark, sf):
     """A file for each page, named by its address; read back as whole files with the stem as id."""
     path = shared.fresh(spark, "html")
     writers.page_files(table(spark, sf, "pages"), path)
-    return readers.html_directory(spark, path).select("file_hash", "source_file", F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("n"))
+    return readers.html_directory(spark, path, recursive=True).select("file_hash", "source_file", F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("n"))
 
 
 @register("SELECT md5(url) AS url_hash, url, md5(html) AS html_md5 FROM pages")

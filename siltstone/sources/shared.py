@@ -34,6 +34,16 @@ def stage(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that the size of its input does not tell: a few a core."""
+    return 3 * spark.sparkContext.defaultParallelism
+
+
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of few bytes and much work each, dealt by key: a scan of them alone would be one task."""
+    return rows.repartition(tasks(rows.sparkSession), *key)
+
+
 def small_or_plain(rows: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if the (already written) side is measured small; else none."""
     return F.broadcast(rows) if rows.count() * row_bytes <= limit else rows

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import wikitext as W
+from siltstone.sources import shared
 from siltstone.sources.readers import filesystem
 
 
@@ -24,25 +25,33 @@ def raw_pages(pages: DataFrame, path: str) -> None:
 
 def _files(rows: DataFrame, path: str, name: Column, body: Column) -> None:
     """One file a row, by tasks. A file that a repeated task writes again has the same content, and appears whole: it is
-    written under a name of its own and moved."""
+    written under a name of its own and moved. Of rows with one name, the first by content has that name, and the k-th
+    after it the same name in the folder again-<k>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
+        made, last, turn = set(), "", 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = f"{base}/{name}"
-                fs.create_dir(os.path.dirname(target), recursive=True)
-                own = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+                turn, last = (turn + 1 if name == last else 0), name
+                target = f"{base}/again-{turn}/{name}" if turn else f"{base}/{name}"
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                own = f"{folder}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(own) as out:
                     out.write((text or "").encode())
                 fs.move(own, target)
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    rows.select(name.alias("name"), body.alias("body")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    dealt = shared.spread(rows.select(name.alias("name"), body.alias("body")), "name").sortWithinPartitions("name", "body")
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def page_files(pages: DataFrame, path: str, key: str | None = None) -> None:
-    """<hash of the address>.html (or <key>.html) of each page: for exports that tools of files read."""
+    """<hash of the address>.html (or <key>.html) of each page: for exports that tools of files read. Further pages of
+    one address are in folders beside (html_directory reads them with ``recursive``)."""
     _files(pages, path, F.concat(F.col(key) if key else F.md5("url"), F.lit(".html")), F.col("html"))
 
 

@@ -1,4 +1,5 @@
 import bz2
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def test_metadata_of_pages_with_one_address(spark, tmp_path):
     assert sorted(r.page_id for r in catalog.QUERIES["crawl_metadata"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
 
 
+def test_files_of_pages_with_one_address(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    for _ in range(2):
+        writers.page_files(pages, str(tmp_path / "p"))
+    rows = readers.html_directory(spark, str(tmp_path / "p"), recursive=True).collect()
+    names = {u: hashlib.md5(u.encode()).hexdigest() for _, u, _ in PAGES}
+    assert sorted(map(tuple, rows)) == sorted((names[u], f"{names[u]}.html", h) for _, u, h in PAGES)
+    assert len(readers.html_directory(spark, str(tmp_path / "p")).collect()) == 2
+
+
 def test_title_index_and_dump(spark, tmp_path):
     (tmp_path / "t.bz2").write_bytes(bz2.compress(b"10:1:A:b\nbad\nx:2:C\n") + bz2.compress(b"20:3:D\n"))
     out = {tuple(r) for r in readers.title_index(spark, str(tmp_path / "t.bz2"), 2).collect()}
