@@ -292,7 +292,7 @@ _STATES = ", ".join(f"('{a}', '{b}')" for a, b in schema.STATES.items())
 
 def _listing_text(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown of one invented listing a part."""
-    p = table(spark, sf, "part")
+    p = shared.spread(table(spark, sf, "part"), "p_partkey")
     key, size = F.col("p_partkey"), F.col("p_size")
     body = F.concat(
         F.lit("# "), F.col("p_name"), F.lit(" Lane, "), F.element_at(F.array(*[F.lit(s) for s in list(schema.STATES)[:25]]), (key % 25 + 1).cast("int")), F.lit(" 78701\n\n$"), (key * 7 + 1000).cast("string"),
@@ -359,10 +359,11 @@ one AS (SELECT * FROM (SELECT *, replace(trim(lower(term)), '_', ' ') AS nt, row
 found AS (SELECT "offset", page_id, wiki_title, entity_name, entity_type, state, state_full FROM t JOIN one ON replace(trim(lower(wiki_title)), '_', ' ') = nt)"""
 
 
-def _found(spark, sf):
+def _found(spark, sf, listings: DataFrame | None = None):
     from siltstone.sources import readers
 
-    return shared.stage(E.find_pages(readers.parse_title_lines(_titles(spark, sf)), *E.locations(_listings(spark, sf))), "found")
+    listings = _listings(spark, sf) if listings is None else listings
+    return shared.stage(E.find_pages(readers.parse_title_lines(_titles(spark, sf)), *E.locations(listings)), "found")
 
 
 @register(f"WITH {_SPECIAL}, {_TITLES}, {_TERMS} SELECT * FROM found")
@@ -462,9 +463,10 @@ def fuzzy_best(spark, sf):
     return pairs.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("left_key", "right_key", F.round("score", 6).alias("score"))
 
 
-def _mapping(spark, sf):
-    pages = E.best_pages(_found(spark, sf)).withColumns({"text_length": F.col("offset").cast("int"), "extracted_properties": F.lit('{"population":"12"}')})
-    return E.map_properties(_listings(spark, sf), pages, stamp=F.lit("2024-01-01").cast("timestamp"))
+def _mapping(spark, sf, listings: DataFrame | None = None):
+    listings = _listings(spark, sf) if listings is None else listings
+    pages = E.best_pages(_found(spark, sf, listings)).withColumns({"text_length": F.col("offset").cast("int"), "extracted_properties": F.lit('{"population":"12"}')})
+    return E.map_properties(listings, pages, stamp=F.lit("2024-01-01").cast("timestamp"))
 
 
 _MAPPED = f"""best AS ({_BEST}),
@@ -484,7 +486,8 @@ def property_mapping(spark, sf):
 @register(f"""{_MAP_ALL}, per AS (SELECT property_id, count(DISTINCT kind) AS kinds FROM mp GROUP BY property_id)
 SELECT (SELECT count(*) FROM mp) AS records, (SELECT count(*) FROM per) AS matched, (SELECT count(*) FROM per WHERE kinds = 2) AS with_both, (SELECT count(*) FROM l) AS total, round((SELECT count(*) FROM per) * 100.0 / (SELECT count(*) FROM l), 2) AS coverage""")
 def mapping_summary(spark, sf):
-    return E.mapping_summary(_listings(spark, sf), _mapping(spark, sf)).select("records", "matched", "with_both", "total", "coverage")
+    listings = _listings(spark, sf)
+    return E.mapping_summary(listings, _mapping(spark, sf, listings)).select("records", "matched", "with_both", "total", "coverage")
 
 
 @register(f"""{_MAP_ALL} SELECT property_id, state || '/' || replace(replace(wiki_title, '/', '_'), ':', '_') || '.xml' AS wiki_page_path, kind AS match_type, CASE kind WHEN 'city' THEN city ELSE school_district END AS matched_based_on,
@@ -502,7 +505,8 @@ def district_statistics(spark, sf):
 
 @register(f"""{_MAP_ALL} SELECT l.file_hash AS property_id, l.title, count(kind) AS n_matches, coalesce(string_agg(kind, '|' ORDER BY kind), '') AS kinds FROM l LEFT JOIN mp ON l.file_hash = mp.property_id GROUP BY ALL""")
 def joined_properties(spark, sf):
-    rows = E.join_matches(_listings(spark, sf), E.match_metadata(_mapping(spark, sf)))
+    listings = _listings(spark, sf)
+    rows = E.join_matches(listings, E.match_metadata(_mapping(spark, sf, listings)))
     return rows.select("property_id", "title", F.coalesce(F.size("wiki_data"), F.lit(0)).cast("long").alias("n_matches"), F.coalesce(F.array_join("wiki_data.match_type", "|"), F.lit("")).alias("kinds"))
 
 

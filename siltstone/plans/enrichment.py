@@ -144,10 +144,13 @@ def resolve(pages: DataFrame, dump: DataFrame, max_hops: int = MAX_HOPS) -> Data
 def best_matches(left: DataFrame, name: str, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``left`` (property_id, state_abbr, <name>) the best page of its state, if any is
     similar enough. Normal forms are made once for each distinct name of a state and page, and only names that share a
-    rare word or hold each other are compared (fuzzyjoin); ties go to the first title, then page."""
-    names = left.select("state_abbr", F.col(name).alias("prop_name")).where("prop_name is not null and prop_name <> ''").distinct()
-    names = names.withColumn("a", fuzzy.normalize(F.col("prop_name")))
-    pages = right.withColumn("b", fuzzy.normalize(F.col("entity_name")))
+    rare word or hold each other are compared (fuzzyjoin); ties go to the first title, then page.
+
+    Names and pages are written: a condition on a normal form would be made for every listing, below the distinct names."""
+    names = shared.stage(left.select("state_abbr", F.col(name).alias("prop_name")).where("prop_name is not null and prop_name <> ''").distinct(), "names")
+    names = shared.stage(names.withColumn("a", fuzzy.normalize(F.col("prop_name"))), "names")
+    pages = right.select("entity_name", "state", "state_full", "wiki_title", "page_id", "text_length", "extracted_properties")
+    pages = shared.stage(pages.withColumn("b", fuzzy.normalize(F.col("entity_name"))), "pages")
     scored = fuzzyjoin.similar_pairs(names.select(F.col("state_abbr").alias("block"), "a"), pages.select(F.col("state").alias("block"), "b"), threshold)
     scored = scored.select(F.col("block").alias("s_state"), F.col("a").alias("s_a"), F.col("b").alias("s_b"), F.col("score").alias("match_score"))
     pairs = names.join(scored, (names.state_abbr == scored.s_state) & (names.a == scored.s_a)).join(pages, (F.col("s_state") == pages.state) & (F.col("s_b") == pages.b))

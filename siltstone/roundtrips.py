@@ -232,7 +232,8 @@ def metadata_round_trip(spark, sf):
 def joined_round_trip(spark, sf):
     """The join of listings and matches as one named file, read back and unnested."""
     path = shared.fresh(spark, "joined") + "/joined.jsonl"
-    writers.named_jsonl(E.join_matches(_listing_table(spark, sf), E.match_metadata(_mapped(spark, sf))), path)
+    listings = _listing_table(spark, sf)
+    writers.named_jsonl(E.join_matches(listings, E.match_metadata(_mapped(spark, sf, listings))), path)
     rows = readers.joined_properties(spark, path).select("property_id", F.explode("wiki_data").alias("m"))
     return rows.select("property_id", "m.wiki_page_path", "m.match_confidence")
 
@@ -426,8 +427,8 @@ def pages_by_offset(spark, sf):
 # --- mapping, whole ----------------------------------------------------------------------------
 
 
-def _mapped(spark, sf) -> DataFrame:
-    return shared.stage(catalog._mapping(spark, sf), "mapping")
+def _mapped(spark, sf, listings: DataFrame | None = None) -> DataFrame:
+    return shared.stage(catalog._mapping(spark, sf, listings), "mapping")
 
 
 _KIND_COUNTS = """count(*) FILTER (kind = 'school_district') AS by_district, count(*) FILTER (kind = 'city') AS by_city, count(*) FILTER (score >= 0.95) AS high, count(*) FILTER (score >= 0.8 AND score < 0.95) AS medium, count(*) FILTER (score < 0.8) AS low"""
@@ -436,15 +437,17 @@ _KIND_COUNTS = """count(*) FILTER (kind = 'school_district') AS by_district, cou
 @register(f"{_MAP_ALL} SELECT count(*) AS records, {_KIND_COUNTS} FROM mp")
 def mapping_kinds(spark, sf):
     """Records by type and by confidence."""
-    return E.mapping_summary(_listing_table(spark, sf), _mapped(spark, sf)).select("records", "by_district", "by_city", "high", "medium", "low")
+    listings = _listing_table(spark, sf)
+    return E.mapping_summary(listings, _mapped(spark, sf, listings)).select("records", "by_district", "by_city", "high", "medium", "low")
 
 
 FACTS = '{"population":"1,200","area_km2":"10.555","elevation_ft":"12","students":"300","schools":"4"}'
 
 
 def _joined(spark, sf) -> DataFrame:
-    mapping = _mapped(spark, sf).withColumn("extracted_properties", F.lit(FACTS))
-    return shared.stage(E.join_matches(_listing_table(spark, sf), E.match_metadata(mapping)), "joined")
+    listings = _listing_table(spark, sf)
+    mapping = _mapped(spark, sf, listings).withColumn("extracted_properties", F.lit(FACTS))
+    return shared.stage(E.join_matches(listings, E.match_metadata(mapping)), "joined")
 
 
 _HAS = "has AS (SELECT property_id, bool_or(kind = 'city') AS c, bool_or(kind = 'school_district') AS d FROM mp GROUP BY property_id)"

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import siltstone
-from siltstone import cli, roundtrips
+from siltstone import catalog, cli, roundtrips
 from siltstone.functions import fuzzy
 from siltstone.operators import fielded, fuzzyjoin, rank
+from siltstone.plans import enrichment as E
 from siltstone.plans import query as Q
 from siltstone.sources import http as H
 from siltstone.sources import shared
@@ -114,3 +115,20 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         shared.folder(Session())
+
+
+def test_listings_are_parsed_once_by_several_tasks(spark, sf, monkeypatch):
+    parsed = []
+    monkeypatch.setattr(catalog.E, "parse_markdown", lambda rows, *a, run=catalog.E.parse_markdown: parsed.append(run(rows, *a)) or parsed[-1])
+    assert roundtrips._joined(spark, sf).count() and len(parsed) == 1
+    assert parsed[0].rdd.getNumPartitions() > 1
+
+
+def test_normal_forms_are_made_of_distinct_names_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(E.shared, "stage", lambda rows, name, run=shared.stage: asked.append((name, run(rows, name))) or asked[-1][1])
+    left = spark.createDataFrame([("TX", "Austin", i) for i in range(50)], "state_abbr string, city string, i int")
+    right = spark.createDataFrame([("Austin", "TX", "Texas", "Austin, Texas", "p1", 1, "{}")], "entity_name string, state string, state_full string, wiki_title string, page_id string, text_length int, extracted_properties string")
+    best = E.best_matches(left, "city", right)
+    assert best.count() == 50 and {r.match_score for r in best.collect()} == {1.0}
+    assert [rows.count() for name, rows in asked if name == "names"] == [1, 1]
