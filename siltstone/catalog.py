@@ -15,7 +15,7 @@ from siltstone.functions import fuzzy, listing
 from siltstone.functions import html as H
 from siltstone.functions import text as X
 from siltstone.functions import wikitext as W
-from siltstone.operators import crawl, fielded, index, rank
+from siltstone.operators import crawl, fielded, fuzzyjoin, index, rank
 from siltstone.plans import enrichment as E
 from siltstone.plans import query as Q
 from siltstone.sources import shared
@@ -453,14 +453,12 @@ def normalized_names(spark, sf):
 @register(f"""WITH n AS (SELECT p_partkey, p_brand, {_sql_normal('nm')} AS v FROM {_NAMES}), p AS (SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, {_sql_score('a.v', 'b.v')} AS score FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY left_key ORDER BY score DESC, right_key) AS turn FROM p WHERE score >= 0.3) SELECT left_key, right_key, round(score, 6) AS score FROM r WHERE turn = 1""")
 def fuzzy_best(spark, sf):
-    from pyspark.sql import Window
-
-    n = _names(spark, sf).select("p_partkey", "p_brand", fuzzy.normalize(F.col("nm")).alias("v"))
-    a = n.select(F.col("p_partkey").alias("left_key"), "p_brand", F.col("v").alias("a"))
-    b = n.select(F.col("p_partkey").alias("right_key"), "p_brand", F.col("v").alias("b"))
-    pairs = a.join(b, "p_brand").where("left_key <> right_key").withColumn("score", fuzzy.score_normalized(F.col("a"), F.col("b"))).where("score >= 0.3")
-    order = Window.partitionBy("left_key").orderBy(F.desc("score"), "right_key")
-    return pairs.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("left_key", "right_key", F.round("score", 6).alias("score"))
+    names = _names(spark, sf)
+    # Written, so that a condition on normal forms is not evaluated for every row.
+    forms = shared.stage(names.select("nm").distinct(), "names").withColumn("v", fuzzy.normalize(F.col("nm")))
+    forms = shared.stage(forms, "forms")
+    rows = names.join(forms, "nm").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("block"), F.col("v").alias("name"))
+    return fuzzyjoin.best_others(shared.stage(rows, "rows"), 0.3).select("left_key", "right_key", F.round("score", 6).alias("score"))
 
 
 def _mapping(spark, sf, listings: DataFrame | None = None):

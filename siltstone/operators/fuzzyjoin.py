@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fuzzy
+from siltstone.sources import shared
 
 
 def _grams(name: Column) -> Column:
@@ -44,3 +45,24 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     around = left.join(others, (left.block == others.block2) & (others.g == head("a"))).where(F.col("b").contains(F.col("a"))).select("block", "a", "b")
     pairs = by_word.unionByName(within).unionByName(around).distinct()
     return pairs.withColumn("score", fuzzy.score_normalized(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+
+
+def best_others(rows: DataFrame, threshold: float) -> DataFrame:
+    """(left_key, right_key, score): for each key of rows (key, block, name) the best other key of its block, by score and
+    then key, if one scores threshold or more. name is a normal form.
+
+    Only distinct names are compared. The two least keys stand for all of a name: one of them is not the key that asks. Of
+    the keys of all names that are similar to one, the best two are kept, for the same reason."""
+    rows = rows.where("block is not null and name <> ''")
+    least = Window.partitionBy("block", "name").orderBy("key")
+    keys = rows.withColumn("turn", F.dense_rank().over(least)).where("turn <= 2").select("block", F.col("name").alias("b"), "key").distinct()
+    names = shared.stage(keys, "keys")
+    pairs = similar_pairs(names.select("block", F.col("b").alias("a")), names, threshold)
+    known = pairs.join(names, ["block", "b"]).groupBy("block", "a", "key").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("block", "a").orderBy(F.desc("score"), "key")
+    best = known.withColumn("turn", F.row_number().over(first)).where("turn <= 2")
+    best = best.groupBy("block", F.col("a").alias("name")).agg(F.array_sort(F.collect_list(F.struct("turn", "key", "score"))).alias("best"))
+    found = rows.join(best, ["block", "name"]).select(F.col("key").alias("left_key"), F.get(F.filter("best", lambda x: x["key"] != F.col("key")), 0).alias("found"))
+    # A key may stand with several names.
+    one = found.where("found is not null").groupBy("left_key").agg(F.min(F.struct((-F.col("found.score")).alias("less"), F.col("found.key").alias("right_key"))).alias("x"))
+    return one.select("left_key", "x.right_key", (-F.col("x.less")).alias("score"))

@@ -132,3 +132,25 @@ def test_normal_forms_are_made_of_distinct_names_only(spark, monkeypatch):
     best = E.best_matches(left, "city", right)
     assert best.count() == 50 and {r.match_score for r in best.collect()} == {1.0}
     assert [rows.count() for name, rows in asked if name == "names"] == [1, 1]
+
+
+def test_best_others_equals_all_pairs(spark):
+    words = ["red", "blue", "ring", "bolt", "red ring", "ring red", "old", ""]
+    rows = spark.createDataFrame([(i // 2 if i < 6 else i, f"b{i % 3}", " ".join(words[(i * k) % 8] for k in range(1, 2 + i % 3)).strip()) for i in range(80)], "key int, block string, name string")
+    a, b = rows.select(F.col("key").alias("left_key"), "block", F.col("name").alias("a")), rows.select(F.col("key").alias("right_key"), "block", F.col("name").alias("b"))
+    pairs = a.join(b, "block").where("left_key <> right_key").withColumn("score", fuzzy.score_normalized(F.col("a"), F.col("b"))).where("score >= 0.3")
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (-r.score, r.right_key)):
+        want.setdefault(r.left_key, (r.right_key, r.score))
+    got = fuzzyjoin.best_others(rows, 0.3).collect()
+    assert {r.left_key: (r.right_key, r.score) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_equal_names_are_not_compared_pair_by_pair(spark, sf, monkeypatch, tmp_path):
+    seen = []
+    monkeypatch.setattr(fuzzyjoin, "similar_pairs", lambda a, b, t, run=fuzzyjoin.similar_pairs: seen.append(run(a, b, t)) or seen[-1])
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.union(part.withColumn("p_partkey", F.col("p_partkey") + 1000)).write.parquet(str(tmp_path / "part.parquet"))
+    assert catalog.QUERIES["fuzzy_best"](spark, str(tmp_path)).count() == 2 * part.count()
+    once = catalog.QUERIES["fuzzy_best"](spark, sf).count()
+    assert once and seen[0].count() == seen[1].count()
