@@ -1,8 +1,9 @@
-"""Readers. All return lazy DataFrames with declared schemas; none lists or opens files on the driver."""
+"""Readers. All return lazy DataFrames with declared schemas; none opens files on the driver."""
 
 from __future__ import annotations
 
 import bz2
+import os
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,15 +14,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone import schema
+from siltstone.sources import shared
 
 
 def html_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file_hash, source_file, html) of every *.html file; file_hash is the name without its ending."""
-    files = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", recursive).text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
+    """(file_hash, source_file, html) of every *.html file; file_hash is the name without its ending. Empty files count in
+    a local folder; elsewhere Spark's reader leaves them out."""
+    folder = _local_folder(spark, path)
+    if folder:
+        files = _small_files(spark, folder, ".html", recursive)
+        name = F.col("name")
+    else:
+        files = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", recursive).text(path, wholetext=True)
+        name = F.col("_metadata.file_name")
     return files.select(F.regexp_extract(name, r"(.*)\.html$", 1).alias("file_hash"), name.alias("source_file"), F.col("value").alias("html"))
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path that Spark would read from a mounted file system; None for patterns and other file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    local = fs.getUri().getScheme() == "file" and not any(c in path for c in "*?[{\\")
+    return fs.makeQualified(where).toUri().getPath() if local and fs.exists(where) and fs.getFileStatus(where).isDirectory() else None
+
+
+def _small_files(spark: SparkSession, folder: str, ending: str, recursive: bool) -> DataFrame:
+    """(name, value) of the files of a folder. Spark lists files on the driver and plans a task for a few dozen of them; here a
+    task lists them, by blocks, and they are dealt to a few tasks a core."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            held, open_ = [], [folder]
+            while open_:
+                with os.scandir(open_.pop()) as entries:
+                    for e in entries:
+                        if e.name[0] in "._":
+                            continue
+                        if e.is_dir():
+                            open_ += [e.path] if recursive else []
+                        elif e.name.endswith(ending):
+                            held.append(e.path)
+                        if len(held) == 10_000:
+                            yield pa.record_batch([pa.array(held, pa.string())], names=["path"])
+                            held = []
+            yield pa.record_batch([pa.array(held, pa.string())], names=["path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    held.append((os.path.basename(path), f.read()))
+                size += len(held[-1][1])
+                if size > 4 << 20:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), (pa.string(), pa.binary()))], names=["name", "value"])
+                    held, size = [], 0
+            if held:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), (pa.string(), pa.binary()))], names=["name", "value"])
+
+    paths = spark.range(0, 1, 1, 1).mapInArrow(names, "path string")
+    return shared.spread(paths, "path").mapInArrow(read, "name string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
 def pages_table(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, html) from Parquet."""
     return spark.read.parquet(path).select("page_id", "url", "html")

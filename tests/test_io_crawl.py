@@ -34,6 +34,23 @@ def test_html_directory_and_named_jsonl(spark, tmp_path):
     assert [json.loads(x) for x in (tmp_path / "out.jsonl").read_text().splitlines()] == [{"a": 1}, {"a": 2, "b": "b"}]
 
 
+def test_html_directory_of_many_files(spark, tmp_path):
+    """Whatever their number, files take a few tasks a core, and folders, endings and bytes are as Spark's reader has them."""
+    (tmp_path / "in").mkdir()
+    for i in range(900):
+        (tmp_path / f"{'in/' if i % 9 == 0 else ''}p{i}.html").write_bytes(b"\xef\xbb\xbf" * (i == 1) + f"é {i}\r\n".encode() * (i != 2))
+    for name in ("_a.html", ".b.html", "c.htm", "in/_d.html"):
+        (tmp_path / name).write_text("no")
+    for recursive in (False, True):
+        rows = readers.html_directory(spark, str(tmp_path), recursive)
+        plain = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", recursive).text(str(tmp_path), wholetext=True)
+        # Spark leaves out empty files; a page without text is a page.
+        want = sorted([*map(tuple, plain.select("_metadata.file_name", "value").collect()), ("p2.html", "")])
+        assert sorted((r.source_file, r.html) for r in rows.collect()) == want and len(want) == (900 if recursive else 800)
+        assert rows.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism < plain.rdd.getNumPartitions()
+    assert readers.html_directory(spark, f"{tmp_path}/p1*.html").count() > 50
+
+
 def test_jsonl_modes(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"title": "a"}\n\n{bad\n{"title": "b"}\n')
     rows = readers.jsonl_lenient(spark, str(tmp_path / "x.jsonl")).cache()
