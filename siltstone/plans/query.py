@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.fielded import FieldedIndex
+from siltstone.sources import shared
 
 K1, B = 1.2, 0.75
 MAX_EXPANSIONS = 50
@@ -181,31 +182,49 @@ def wildcard_regex(text: str) -> str:
     return "^" + "".join(".*" if p == "*" else "." if p == "?" else re.escape(p[-1]) for p in parts) + "$"
 
 
-def _matching_terms(index: FieldedIndex, text_leaves: list[Leaf]) -> DataFrame:
+def _expansions(index: FieldedIndex, x: Leaf) -> list[str]:
+    """The at most MAX_EXPANSIONS stored terms nearest to a fuzzy leaf's word. Words of about its length are written first:
+    the distance is a condition on the term, and would else be evaluated for every token of the texts."""
+    q = x.value
+    near = (F.col("field") == x.field) & F.length("term").between(len(q) - x.slop, len(q) + x.slop)
+    words = shared.stage(index.terms.where(near).select("term").distinct(), "words")
+    found = words.withColumn("d", _distance(F.col("term"), q, x.slop)).where(F.col("d").between(0, x.slop))
+    return [r.term for r in found.orderBy("d", "term").limit(MAX_EXPANSIONS).collect()]
+
+
+def _term_test(x: Leaf, expansions: dict[int, list[str]]) -> Column:
+    """Whether a term of an index is one of the leaf's."""
+    term, test = F.col("term"), F.col("field") == x.field
+    if x.kind == "wildcard":
+        test &= term.rlike(wildcard_regex(x.value))
+    elif x.kind == "range":
+        low, has_low, high, has_high = x.value
+        if low is not None:
+            test &= term >= low.lower() if has_low else term > low.lower()
+        if high is not None:
+            test &= term <= high.lower() if has_high else term < high.lower()
+    else:
+        test &= term.isin(expansions[x.n] if x.kind == "fuzzy" else x.value if x.kind == "phrase" else [x.value])
+    return test
+
+
+def _matching_terms(index: FieldedIndex, text_leaves: list[Leaf], expansions: dict[int, list[str]]) -> DataFrame:
     """(leaf, field, term, df, at, weight): the stored terms of each leaf; weight is 0 where a term only
     makes a document match, with a constant score."""
     out = None
     for x in text_leaves:
-        rows = index.terms.where(F.col("field") == x.field)
-        if x.kind == "wildcard":
-            rows = rows.where(F.col("term").rlike(wildcard_regex(x.value))).withColumns({"at": F.lit(0), "weight": F.lit(0.0)})
+        rows = index.terms.where(_term_test(x, expansions))
+        if x.kind in ("wildcard", "range"):
+            rows = rows.withColumns({"at": F.lit(0), "weight": F.lit(0.0)})
         elif x.kind == "fuzzy":
             q = x.value
-            near = rows.where(F.length("term").between(len(q) - x.slop, len(q) + x.slop)).withColumn("d", _distance(F.col("term"), q, x.slop)).where(F.col("d").between(0, x.slop))
-            weight = F.lit(1.0) - F.col("d") / F.least(F.length("term"), F.lit(len(q)))
-            rows = near.orderBy("d", "term").limit(MAX_EXPANSIONS).withColumns({"at": F.lit(0), "weight": F.greatest(weight, F.lit(0.0))}).drop("d")
-        elif x.kind == "range":
-            low, has_low, high, has_high = x.value
-            if low is not None:
-                rows = rows.where(F.col("term") >= low.lower() if has_low else F.col("term") > low.lower())
-            if high is not None:
-                rows = rows.where(F.col("term") <= high.lower() if has_high else F.col("term") < high.lower())
-            rows = rows.withColumns({"at": F.lit(0), "weight": F.lit(0.0)})
+            weight = F.lit(1.0) - _distance(F.col("term"), q, x.slop) / F.least(F.length("term"), F.lit(len(q)))
+            rows = rows.withColumns({"at": F.lit(0), "weight": F.greatest(weight, F.lit(0.0))})
         else:
             words = x.value if x.kind == "phrase" else [x.value]
             # A word may stand at several places of a phrase.
             places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("at")) for i, w in enumerate(words)])
-            rows = rows.where(F.col("term").isin(words)).select("*", F.explode(F.filter(places, lambda p: p["w"] == F.col("term"))["at"]).alias("at")).withColumn("weight", F.lit(1.0))
+            rows = rows.select("*", F.explode(F.filter(places, lambda p: p["w"] == F.col("term"))["at"]).alias("at")).withColumn("weight", F.lit(1.0))
         rows = rows.select(F.lit(x.n).alias("leaf"), "field", "term", "df", F.col("at").cast("int").alias("at"), F.col("weight").cast("double").alias("weight"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -238,13 +257,12 @@ def _phrase_count(n_words: int, slop: int) -> Column:
 
 
 def _text_hits(index: FieldedIndex, text_leaves: list[Leaf]) -> DataFrame:
-    """(doc_id, m<leaf>, s<leaf>...): one scan of the postings of all leaves, one aggregation by document."""
-    terms = _matching_terms(index, text_leaves).join(F.broadcast(index.stats), "field")
+    """(doc_id, m<leaf>, s<leaf>...): one scan of the postings of all leaves, one aggregation by document. Postings that are
+    of no leaf are left out in the scan, or before they are made of the texts."""
+    expansions = {x.n: _expansions(index, x) for x in text_leaves if x.kind == "fuzzy"}
     fields = sorted({x.field for x in text_leaves})
-    known = [x.value if isinstance(x.value, list) else [x.value] for x in text_leaves if x.kind in ("term", "phrase")]
-    posts = index.postings.where(F.col("field").isin(fields))
-    if len(known) == len(text_leaves):
-        posts = posts.where(F.col("term").isin(sorted({w for ws in known for w in ws})))
+    terms = _matching_terms(index, text_leaves, expansions).join(F.broadcast(index.stats.where(F.col("field").isin(fields))), "field")
+    posts = index.postings.where(reduce(lambda a, b: a | b, [_term_test(x, expansions) for x in text_leaves]))
     # Words and the at most MAX_EXPANSIONS terms of a fuzzy clause are few; a wildcard or a range may ask for the whole
     # vocabulary, and is left to the sizes that Spark measures.
     few = all(x.kind in ("term", "phrase", "fuzzy") for x in text_leaves)

@@ -1,5 +1,7 @@
 """The query language on a small corpus."""
 
+import re
+
 import pytest
 
 from siltstone.operators import fielded
@@ -88,3 +90,19 @@ def test_documents_from_listings(spark):
     assert (r.price, r.state, r.population, r.area_km2, r.elevation_ft, r.students) == (1250, "TX", 12345, 1.5, None, None)
     assert docs.count() == 2
     assert fielded.documents(spark.createDataFrame([row, ("i", *[None] * 11)], kind), wiki_only=True).count() == 1
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("text, test", [("dales~1", "dalles"), ("hous*", "RLIKE|StartsWith"), ("description:[ranch TO ranches]", "ranches")])
+def test_only_postings_of_the_query_are_made(spark, text, test):
+    """The condition on terms is below the aggregation that makes postings, and no distance is evaluated there."""
+    rows = spark.createDataFrame(ROWS, "property_id string, title string, description string, price long, beds int, city_exact string, state string, population long")
+    got = Q.scores(fielded.build(rows, "property_id", FIELDS), text)
+    assert got.count()
+    lines = _plan(got).splitlines()
+    made = [i for i, line in enumerate(lines) if "Aggregate [field" in line and "doc_id" in line and "count(1)" in line]
+    assert made and all(any(re.search(test, x) and "Filter" in x for x in lines[i + 1 : i + 4]) for i in made)
+    assert not any("levenshtein" in x and "Filter" in x for x in lines)
