@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.index import Index
-from siltstone.sources import shared
 
 K1, B = 1.2, 0.75
 
@@ -68,25 +67,36 @@ def term_metrics(index: Index, hits: DataFrame, query: str) -> DataFrame:
 
 
 class Searcher:
-    """Interactive search: the postings in memory, each with its document's length and its term's frequency. They are dealt by
-    document, as shards of an index are, and sorted by term: a search is one job, in which each task reads
-    the batches of the query's terms, scores its own documents and hands on its k best."""
+    """Interactive search: the postings in memory, each with its document's length. They are dealt by document, as shards of
+    an index are, and sorted by term: a search is one job, in which each task reads the batches of the query's terms, scores
+    its own documents and hands on its k best. How many documents hold a term is counted when it is first asked for, in
+    these batches too, and remembered."""
 
     def __init__(self, index: Index):
         spark = index.postings.sparkSession
         self.index = index
-        postings = shared.stage(index.postings, "postings")
-        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
         shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings = postings.join(terms, "term").repartition(shards, "doc_id").sortWithinPartitions("term", "doc_id").cache()
+        self.postings = index.postings.select("term", "doc_id", "tf", "dl").repartition(shards, "doc_id").sortWithinPartitions("term", "doc_id").cache()
+        self.known: dict[str, int] = {}
         # Documents without a token count in the mean; their number needs no text.
         n, length = index.docs.agg(F.count("*")).first()[0], self.postings.agg(F.sum("tf")).first()[0] or 0
         self.n, self.avgdl = n, length / n if n else 0.0
 
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """How many documents hold each of the (few) terms."""
+        new = sorted(set(terms) - set(self.known))
+        if new:
+            rows = self.postings.where(F.col("term").isin(new)).groupBy("term").agg(F.count("*").alias("n")).collect()
+            self.known |= dict.fromkeys(new, 0) | {r.term: r.n for r in rows}
+        return {t: self.known[t] for t in terms}
+
     def top_k(self, query: str, method: str = "bm25", k: int = 10) -> DataFrame:
         """As ``top_k``."""
         wanted = Counter(X.query_terms(query))
-        tf, df, dl, n = F.col("tf"), F.col("df"), F.col("dl"), F.lit(self.n)
+        df = F.lit(None).cast("long")
+        for term, count in self.frequencies(list(wanted)).items():
+            df = F.when(F.col("term") == term, F.lit(count or None).cast("long")).otherwise(df)
+        tf, dl, n = F.col("tf"), F.col("dl"), F.lit(self.n)
         one = tfidf_score(tf, df, dl, n) if method == "tfidf" else bm25_score(tf, df, dl, n, F.lit(self.avgdl))
         for term, count in wanted.items():
             one = F.when(F.col("term") == term, one * count).otherwise(one) if count > 1 else one

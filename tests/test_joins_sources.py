@@ -154,3 +154,19 @@ def test_equal_names_are_not_compared_pair_by_pair(spark, sf, monkeypatch, tmp_p
     assert catalog.QUERIES["fuzzy_best"](spark, str(tmp_path)).count() == 2 * part.count()
     once = catalog.QUERIES["fuzzy_best"](spark, sf).count()
     assert once and seen[0].count() == seen[1].count()
+
+
+def test_searcher_shuffles_its_postings_once(spark, tmp_path):
+    from siltstone.operators import index
+
+    docs = spark.createDataFrame([(i, "pool house " + "garden " * (i % 3) + ("lodge" if i == 7 else "")) for i in range(40)], "doc_id long, text string")
+    index.build(docs).save(str(tmp_path / "i"))
+    stored = index.load(spark, str(tmp_path / "i"))
+    found = rank.Searcher(stored)
+    assert found.postings._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert found.postings._jdf.queryExecution().logical().toString().count("Join") == 0
+    for text in ("garden lodge", "pool pool nothing", "garden", "nothing"):
+        for method in ("bm25", "tfidf"):
+            assert list(map(tuple, found.top_k(text, method).collect())) == list(map(tuple, rank.top_k(stored, text, method).collect()))
+    assert found.known["garden"] == 26 and found.known["lodge"] == 1 and found.known["nothing"] == 0
+    found.close()
